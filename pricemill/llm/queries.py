@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import encode_corpus
+from .lookalike import consistent_texts, same_looking_pairs
 from .topn import top_n_per_group
 
 #: White space of any kind at either end.
@@ -24,7 +25,15 @@ def p8_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids}
+def p10_found(spark, sf_dir):
+    return same_looking_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_texts(spark, sf_dir):
+    return consistent_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_texts": p10_texts}
 
 SQL = {
     "p2_found": r"""
