@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import encode_corpus
+from .copies import bare, copies, copy_counts, order_free
 from .lookalike import consistent_texts, same_looking_pairs
+from .mixing import mix_sources, shares
 from .topn import top_n_per_group
 
 #: White space of any kind at either end.
@@ -21,6 +23,27 @@ def p2_found(spark, sf_dir):
     return top.select(F.col("g").alias("sku"), "rnk", F.col("id").alias("offer_id"))
 
 
+def _p6(spark, sf_dir):
+    rows = table(spark, sf_dir, "product").where("sku IS NOT NULL")
+    return rows, order_free(bare("sku"), bare("name")), F.col("product_id")
+
+
+def p6_found(spark, sf_dir):
+    return copies(*_p6(spark, sf_dir))
+
+
+def p6_counts(spark, sf_dir):
+    return copy_counts(*_p6(spark, sf_dir))
+
+
+def p9_mix(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p9_shares(spark, sf_dir):
+    return shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
 def p8_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -33,7 +56,7 @@ def p10_texts(spark, sf_dir):
     return consistent_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 
 SQL = {
     "p2_found": r"""
@@ -44,4 +67,15 @@ SQL = {
             SELECT sku, row_number() OVER (PARTITION BY sku ORDER BY price, updated_at DESC NULLS LAST, offer_id) AS rnk, offer_id
             FROM o WHERE sku <> '')
         SELECT sku, rnk, offer_id FROM r WHERE rnk <= 3""",
+    "p6_found": r"""
+        WITH k AS (
+            SELECT product_id, regexp_replace(lower(sku), '[^\p{L}\p{N}]+', '', 'g') AS a, coalesce(regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g'), chr(1)) AS b
+            FROM product WHERE sku IS NOT NULL),
+        g AS (SELECT product_id, min(product_id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS first_id FROM k)
+        SELECT first_id, product_id AS copy_id FROM g WHERE first_id < product_id""",
+    "p6_counts": r"""
+        WITH k AS (
+            SELECT product_id, regexp_replace(lower(sku), '[^\p{L}\p{N}]+', '', 'g') AS a, coalesce(regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g'), chr(1)) AS b
+            FROM product WHERE sku IS NOT NULL)
+        SELECT min(product_id) AS first_id, count(*) AS n_rows FROM k GROUP BY least(a, b), greatest(a, b)""",
 }
