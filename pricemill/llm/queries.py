@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
+from .articles import article_groups, same_article_pairs
 from .bpe import encode_corpus
 from .copies import bare, copies, copy_counts, order_free
 from .lookalike import consistent_texts, same_looking_pairs
@@ -23,6 +24,14 @@ def p2_found(spark, sf_dir):
     return top.select(F.col("g").alias("sku"), "rnk", F.col("id").alias("offer_id"))
 
 
+def p3_found(spark, sf_dir):
+    return same_article_pairs(table(spark, sf_dir, "product"))
+
+
+def p3_groups(spark, sf_dir):
+    return article_groups(table(spark, sf_dir, "product"))
+
+
 def _p6(spark, sf_dir):
     rows = table(spark, sf_dir, "product").where("sku IS NOT NULL")
     return rows, order_free(bare("sku"), bare("name")), F.col("product_id")
@@ -56,7 +65,7 @@ def p10_texts(spark, sf_dir):
     return consistent_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 
 SQL = {
     "p2_found": r"""
