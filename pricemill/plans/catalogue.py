@@ -1,4 +1,6 @@
 """Queries of the core and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from . import problems
+
+QUERIES = {**problems.QUERIES}
+SQL = {**problems.SQL}
