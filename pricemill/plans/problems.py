@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.bad_rows import amount, amount_reason, bad_records, invalid_values, valid_records
 from ..operators.packed_fields import choose_dialects, unpack_fields
 from ..session import table
 
@@ -21,5 +22,27 @@ def p1_dialects(spark, sf_dir):
     return chosen.groupBy("field", "dialect").agg(F.count("*").alias("n_fields"), F.sum(F.size("vals")).cast("long").alias("n_values"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects}
+def _price_files(spark, sf_dir):
+    return [table(spark, sf_dir, t) for t in ("price_line", "price_file", "column_alias")]
+
+
+def p4_found(spark, sf_dir):
+    return bad_records(*_price_files(spark, sf_dir), table(spark, sf_dir, "sample_raw"))
+
+
+def p4_loaded(spark, sf_dir):
+    return valid_records(*_price_files(spark, sf_dir))
+
+
+def p4_sample_prices(spark, sf_dir):
+    """Prices of sample_raw as numbers, null where they aren't one amount."""
+    return table(spark, sf_dir, "sample_raw").select("id_internal", amount(F.col("price")).alias("price"))
+
+
+def p4_invalid_values(spark, sf_dir):
+    """The dictionary of invalid prices of sample_raw with reasons."""
+    return invalid_values(table(spark, sf_dir, "sample_raw"), "price", amount_reason(F.col("value")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_sample_prices": p4_sample_prices, "p4_invalid_values": p4_invalid_values}
 SQL = {}
