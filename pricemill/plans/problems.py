@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.bad_rows import amount, amount_reason, bad_records, invalid_values, valid_records
 from ..operators.packed_fields import choose_dialects, unpack_fields
+from ..operators.price_units import to_kopiykas, with_unit
+from ..operators.schema_drift import column_changes, consistent_rows, field_lifespans
 from ..session import table
 
 LIST_FIELDS = ["images_extra_urls", "tags", "compatibility"]
@@ -44,5 +46,31 @@ def p4_invalid_values(spark, sf_dir):
     return invalid_values(table(spark, sf_dir, "sample_raw"), "price", amount_reason(F.col("value")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_sample_prices": p4_sample_prices, "p4_invalid_values": p4_invalid_values}
+def p5_found(spark, sf_dir):
+    return to_kopiykas(table(spark, sf_dir, "product"), table(spark, sf_dir, "fx_rate"))
+
+
+def p5_units(spark, sf_dir):
+    """How many prices are recorded in each unit, and what says so."""
+    rows = with_unit(table(spark, sf_dir, "product")).where("price IS NOT NULL")
+    return rows.groupBy("unit_code", "unit_factor", "said").agg(F.count("*").alias("n"))
+
+
+def _feeds(spark, sf_dir):
+    return [table(spark, sf_dir, t) for t in ("import_template", "feed_row", "column_alias")]
+
+
+def p7_found(spark, sf_dir):
+    return column_changes(*_feeds(spark, sf_dir))
+
+
+def p7_lifespans(spark, sf_dir):
+    return field_lifespans(*_feeds(spark, sf_dir))
+
+
+def p7_rows(spark, sf_dir):
+    return consistent_rows(*_feeds(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_sample_prices": p4_sample_prices, "p4_invalid_values": p4_invalid_values, "p5_found": p5_found, "p5_units": p5_units, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_rows": p7_rows}
 SQL = {}
