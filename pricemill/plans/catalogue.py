@@ -1,6 +1,6 @@
 """Queries of the core and their SQL."""
 
-from . import problems
+from . import offer_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**offer_queries.QUERIES, **problems.QUERIES}
+SQL = {**offer_queries.SQL, **problems.SQL}
