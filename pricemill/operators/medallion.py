@@ -40,7 +40,7 @@ def gold(silver_rows: DataFrame) -> DataFrame:
     expansion that two distinct counts would need; a hot key spreads over its skus and suppliers.
     """
     fine = silver_rows.groupBy("pid_raw", "sku", "supplier").agg(F.sum("price").alias("s"), F.count("price").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi"))
-    return fine.groupBy("pid_raw").agg(F.count_distinct("sku").alias("sku_count"), F.count_distinct("supplier").alias("supplier_count"), (F.sum("s") / F.sum("n")).alias("avg_price"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"))
+    return fine.groupBy("pid_raw").agg(F.count_distinct("sku").alias("sku_count"), F.count_distinct("supplier").alias("supplier_count"), (F.sum("s").cast("double") / F.sum("n")).alias("avg_price"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"))
 
 
 def write_bronze(rows: DataFrame, path: str, date: str) -> None:

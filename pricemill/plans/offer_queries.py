@@ -44,11 +44,12 @@ def silver_offers(spark, sf_dir):
     return medallion.silver(medallion.bronze(offers(spark, sf_dir)))
 
 
-@query(_BRONZE_SQL + """SELECT pid_raw, count(DISTINCT sku) AS sku_count, count(DISTINCT supplier) AS supplier_count, round(avg(price), 4) AS avg_price, min(price) AS min_price, max(price) AS max_price
+@query(_BRONZE_SQL + """SELECT pid_raw, count(DISTINCT sku) AS sku_count, count(DISTINCT supplier) AS supplier_count, CAST(sum(CAST(price AS DECIMAL(15, 2))) AS DOUBLE) / count(*) AS avg_price, min(price) AS min_price, max(price) AS max_price
     FROM silver GROUP BY pid_raw""")
 def gold_summary(spark, sf_dir):
-    rows = medallion.gold(medallion.silver(medallion.bronze(offers(spark, sf_dir))))
-    return rows.withColumn("avg_price", F.round("avg_price", 4))
+    """Prices are summed as decimals, so the average doesn't depend on the order of rows."""
+    rows = medallion.silver(medallion.bronze(offers(spark, sf_dir))).withColumn("price", F.col("price").cast("decimal(15,2)"))
+    return medallion.gold(rows).withColumns({c: F.col(c).cast("double") for c in ("min_price", "max_price")})
 
 
 # --- comparison
