@@ -25,9 +25,9 @@ DIALECTS = {
     "blank": (" ",),
     "whole": (),
 }
-#: Bits for naming a dialect, for a separator, for each character of a code never seen, for each letter or digit that a
-#: shape leaves open, and for using a coarser code.
-DIALECT_BITS, SEPARATOR_BITS, CHARACTER_BITS, OPEN_BITS, LEVEL_BITS = 3.2, 2.0, 4.0, 4.5, 3.0
+#: Bits for naming a dialect, for a separator, for each character of a code never seen (more if some dialect's
+#: delimiter), for each letter or digit that a shape leaves open, and for using a coarser code.
+DIALECT_BITS, SEPARATOR_BITS, CHARACTER_BITS, DELIMITER_BITS, OPEN_BITS, LEVEL_BITS = 3.2, 2.0, 4.0, 10.0, 4.5, 3.0
 
 _URL = re.compile(r"https?://", re.I)
 _NEXT_URL = re.compile(r"[\s,;|/\"]*(?:https?://|$)", re.I)
@@ -233,7 +233,7 @@ def choose_dialects(df: DataFrame, row_id: str, fields: list[str], rounds: int =
         bits = table.join(F.broadcast(totals), ["field", "level"]).select("field", "level", "code", (-F.log2(F.col("n") / F.col("total"))).alias("bits"))
         priced = needs.join(bits, ["field", "level", "code"], "left").join(F.broadcast(totals), ["field", "level"], "left")
         # a value never seen has no code of its own; a shape never seen is spelt out
-        spelt = F.when(F.col("level") > 0, F.log2(F.coalesce("total", F.lit(1)) + 2) + CHARACTER_BITS * F.length("code"))
+        spelt = F.when(F.col("level") > 0, F.log2(F.coalesce("total", F.lit(1)) + 2) + CHARACTER_BITS * F.length("code") + DELIMITER_BITS * (F.length("code") - F.length(F.translate("code", ",;|\t\n", ""))))
         value = priced.groupBy("id", "field", "dialect", "k").agg(F.min(F.coalesce("bits", spelt) + LEVEL_BITS * F.col("level") + OPEN_BITS * F.col("left_open")).alias("bits"))
         cost = value.groupBy("id", "field", "dialect").agg((F.sum("bits") + SEPARATOR_BITS * (F.count("*") - 1) + DIALECT_BITS).alias("bits"))
         best = cost.groupBy("id", "field").agg(F.min_by("dialect", F.struct(F.round("bits", 6), rank[F.col("dialect")])).alias("dialect"))
