@@ -81,7 +81,7 @@ def valid_gtin(digits: str) -> bool:
     return (sum(d[1::2]) * 3 + sum(d[2::2]) + d[0]) % 10 == 0
 
 
-_GTIN_LABEL = re.compile(r"(?:gtin|ean|upc|штрихкод)\W*(\d{8}|\d{12,14})(?!\d)")
+_GTIN_LABEL = re.compile(r"(?:gtin|ean|upc|штрихкод)\W*(\d{8}|\d{12,14})(?!\d)", re.I)
 
 
 def trade_number(text: str) -> str | None:

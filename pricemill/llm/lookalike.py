@@ -35,6 +35,9 @@ _CYRILLIC, _ROMAN = re.compile("[Ѐ-ԯ]"), re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 #: Compatibility forms that look the same: wide and narrow forms, joined letters, no-break hyphen.
 _FORMS = {i: unicodedata.normalize("NFKC", chr(i)) for i in [*range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)] if unicodedata.decomposition(chr(i))}
 _FORMS |= {0x2010: "-", 0x2011: "-"}
+_FORM = re.compile("[" + "".join(map(chr, _FORMS)).replace("-", r"\-").replace("]", r"\]") + "]")
+#: A letter that only Cyrillic has: it tells the script of a text without Roman letters.
+_DECISIVE = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c)[0] not in SPELLINGS) + "]")
 _TOKEN = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
 #: White space but line feeds; it shows as blanks, at a line's end as nothing. A run's length can be seen and stays.
 _BLANK = re.compile(r"[^\S\n ]")
@@ -97,8 +100,8 @@ class Consistent:
         if text is None:
             return None
         if rare := _RARE.search(text):
-            text = _BLANK.sub(" ", _DROP.sub("", text).translate(_FORMS).replace("\r\n", "\n"))
-        if rare or (_CYRILLIC.search(text) and _ROMAN.search(text)):
+            text = _BLANK.sub(" ", _FORM.sub(lambda m: _FORMS[ord(m[0])], _DROP.sub("", text)).replace("\r\n", "\n"))
+        if rare or (_CYRILLIC.search(text) and (_ROMAN.search(text) or not _DECISIVE.search(text))):
             text = self._letters(text)
         if rare:
             text = unicodedata.normalize("NFC", text)
