@@ -38,7 +38,10 @@ _FORMS |= {0x2010: "-", 0x2011: "-"}
 _FORM = re.compile("[" + "".join(map(chr, _FORMS)).replace("-", r"\-").replace("]", r"\]") + "]")
 #: A letter that only Cyrillic has: it tells the script of a text without Roman letters.
 _DECISIVE = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c)[0] not in SPELLINGS) + "]")
-_TOKEN = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
+#: Letters of the three scripts; those of others look like none of them.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏͰ-ͽͿ-ϿЀ-ҁҊ-ԯḀ-῿"
+_PLAIN_TOKEN = re.compile(f"[{_LETTER}]+")
+_TOKEN = re.compile(f"[{_LETTER}][{_LETTER}̀-ͯ]*")
 #: White space but line feeds; it shows as blanks, at a line's end as nothing. A run's length can be seen and stays.
 _BLANK = re.compile(r"[^\S\n ]")
 _LINE_END = re.compile(r" +(?=\n)")
@@ -67,34 +70,45 @@ class Consistent:
     """Brings texts to the consistent form; keeps what it found of each token."""
 
     def __init__(self, keep: int = 1 << 18):
-        self.keep, self.found, self.spelt = keep, {}, {}
-
-    def _of(self, token: str) -> frozenset[str]:
-        if (s := self.found.get(token)) is None:
-            if len(self.found) > self.keep:
-                self.found.clear()
-            s = self.found[token] = scripts_of(unicodedata.normalize("NFD", token))
-        return s
-
-    def _spelt(self, token: str, order: tuple[str, ...]) -> str:
-        key = (token, order)
-        if (out := self.spelt.get(key)) is None:
-            if len(self.spelt) > self.keep:
-                self.spelt.clear()
-            held = self._of(token)
-            out = unicodedata.normalize("NFC", spell(unicodedata.normalize("NFD", token), next((x for x in order if x in held), None)))
-            self.spelt[key] = out
-        return out
-
-    def _letters(self, text: str) -> str:
+        self.keep, self.votes, self.spelt = keep, {}, {}
+
+    def _vote(self, token: str) -> int:
+        """The place in SCRIPTS of the only script that spells the token, or -1."""
+        if len(self.votes) > self.keep:
+            self.votes.clear()
+        s = scripts_of(unicodedata.normalize("NFD", token))
+        x = next(iter(s)) if len(s) == 1 else None
+        v = self.votes[token] = SCRIPTS.index(x) if x in SCRIPTS else -1
+        return v
+
+    def _change(self, token: str, order: tuple[int, ...], known: dict[str, str | None]) -> str | None:
+        """The token in the first of the scripts that can spell it; None if that is the token as it is."""
+        if len(known) > self.keep:
+            known.clear()
+        marked = unicodedata.normalize("NFD", token)
+        held = scripts_of(marked)
+        out = unicodedata.normalize("NFC", spell(marked, next((SCRIPTS[k] for k in order if SCRIPTS[k] in held), None)))
+        known[token] = out if out != token else None
+        return known[token]
+
+    def _letters(self, text: str, marks: bool) -> str:
         """The text with each token in one script; tokens of any script take the one that rules the text."""
-        tokens, votes = Counter(_TOKEN.findall(text)), dict.fromkeys(SCRIPTS, 0)
+        pattern = _TOKEN if marks else _PLAIN_TOKEN
+        tokens, votes, said = Counter(pattern.findall(text)), [0] * len(SCRIPTS), self.votes.get
         for t, n in tokens.items():
-            if len(s := self._of(t)) == 1 and (x := next(iter(s))) in votes:
-                votes[x] += n * len(t)
-        order = tuple(sorted(SCRIPTS, key=lambda s: (-votes[s], SCRIPTS.index(s))))
-        other = {t: to for t in tokens if (to := self._spelt(t, order)) != t}
-        return _TOKEN.sub(lambda m: other.get(m[0], m[0]), text) if other else text
+            k = said(t)
+            if k is None:
+                k = self._vote(t)
+            if k >= 0:
+                votes[k] += n * len(t)
+        order = tuple(sorted(range(len(SCRIPTS)), key=lambda k: (-votes[k], k)))
+        known = self.spelt.setdefault(order, {})
+        other = {}
+        for t in tokens:
+            to = known[t] if t in known else self._change(t, order, known)
+            if to is not None:
+                other[t] = to
+        return pattern.sub(lambda m: other.get(m[0], m[0]), text) if other else text
 
     def __call__(self, text: str | None) -> str | None:
         if text is None:
@@ -102,7 +116,7 @@ class Consistent:
         if rare := _RARE.search(text):
             text = _BLANK.sub(" ", _FORM.sub(lambda m: _FORMS[ord(m[0])], _DROP.sub("", text)).replace("\r\n", "\n"))
         if rare or (_CYRILLIC.search(text) and (_ROMAN.search(text) or not _DECISIVE.search(text))):
-            text = self._letters(text)
+            text = self._letters(text, bool(rare))
         if rare:
             text = unicodedata.normalize("NFC", text)
         return (_LINE_END.sub("", text) if " \n" in text else text).strip()
