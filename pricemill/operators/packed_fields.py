@@ -152,8 +152,13 @@ def candidates(text: str) -> list[tuple[str, list[str]]]:
     if (items := read_json(text)) is not None:
         return [("json", items)]
     out: dict[tuple[str, ...], str] = {}
+    here, done = set(text), set()
     for name, delimiters in DIALECTS.items():
-        out.setdefault(tuple(split_field(text, delimiters)), name)
+        # dialects that share the delimiters which occur read the field alike
+        occur = tuple(d for d in delimiters if d in here)
+        if occur not in done:
+            done.add(occur)
+            out.setdefault(tuple(split_field(text, occur)), name)
     return [(name, list(values)) for values, name in out.items()]
 
 
