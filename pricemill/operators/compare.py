@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, words
@@ -28,9 +28,8 @@ def best_offers(offers: DataFrame) -> DataFrame:
 
 
 def compare_by_sku(offers: DataFrame, sku: str) -> DataFrame:
-    """All offers of one sku by price, with their place."""
-    rows = offers.where(F.lower("sku") == sku.lower().strip())
-    return rows.select(F.row_number().over(Window.orderBy(*ORDER)).alias("place"), *ORDER)
+    """All offers of one sku by price, in a sort that spreads over partitions."""
+    return offers.where(F.lower("sku") == sku.lower().strip()).select(*ORDER).orderBy(*ORDER)
 
 
 def compare_by_name(offers: DataFrame, name: str, threshold: float = 0.75) -> DataFrame:

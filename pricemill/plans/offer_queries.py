@@ -65,7 +65,7 @@ def best_offers(spark, sf_dir):
 
 
 @query(OFFERS_SQL + """
-    SELECT row_number() OVER (ORDER BY price, supplier, sku, name)::INT AS place, price, supplier, sku, name FROM offers WHERE lower(sku) = 'sku-1'""")
+    SELECT price, supplier, sku, name FROM offers WHERE lower(sku) = 'sku-1'""")
 def compare_by_sku(spark, sf_dir):
     return compare.compare_by_sku(offers(spark, sf_dir), "SKU-1")
 

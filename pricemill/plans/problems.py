@@ -10,6 +10,7 @@ from ..operators.price_units import rates, to_kopiykas, with_unit
 from ..operators.schema_drift import column_changes, consistent_rows, field_lifespans
 from ..operators.unit_hmm import decode_units
 from ..session import table
+from .problem_sql import SQL as SQL
 
 LIST_FIELDS = ["images_extra_urls", "tags", "compatibility"]
 
@@ -91,8 +92,8 @@ def p7_lifespans(spark, sf_dir):
 
 
 def p7_rows(spark, sf_dir):
-    return consistent_rows(*_feeds(spark, sf_dir))
+    rows = consistent_rows(*_feeds(spark, sf_dir))
+    return rows.withColumns({c: F.to_json(c) for c in ("others", "unfit")})
 
 
 QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_sample_prices": p4_sample_prices, "p4_invalid_values": p4_invalid_values, "p5_found": p5_found, "p5_units": p5_units, "p5_decoded": p5_decoded, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_rows": p7_rows}
-SQL = {}
