@@ -24,7 +24,7 @@ def search(offers: DataFrame, query: str, supplier: str | None = None, fuzzy: bo
     """The best offers for a query, with their score; offers: sku, name, price, supplier, haystack, tokens.
 
     Candidates share a word with the query or have it as sku; only if there are none is every offer one. That
-    is a single global maximum over a flag, so the offers are read twice and nothing is collected.
+    is a scalar subquery, the maximum of a flag: the offers are read twice and nothing is collected.
     strict: an equal sku counts for any supplier. The limit is the feature: a top-k without a full sort.
     """
     import re
@@ -37,12 +37,12 @@ def search(offers: DataFrame, query: str, supplier: str | None = None, fuzzy: bo
     exact = F.lower("sku") == q
     share = F.arrays_overlap("tokens", F.array(*map(F.lit, parts))) if parts else F.lit(True)
     rows = offers.withColumn("cand", (mine & (share | exact)) | (exact if strict else F.lit(False))).where(mine | F.col("cand"))
-    any_ = rows.agg(F.coalesce(F.max("cand"), F.lit(False)).alias("any_cand"))
-    rows = rows.crossJoin(F.broadcast(any_)).where("cand OR NOT any_cand")  # one row
+    any_ = rows.agg(F.coalesce(F.max("cand"), F.lit(False))).scalar()
+    rows = rows.where(F.col("cand") | ~any_)
     if fuzzy:
         # the score is computed once for each distinct text
         texts = rows.select("haystack", "tokens").distinct().withColumn("score", fuzzy_score(F.lit(q), "tokens", "haystack")).where(F.col("score") >= threshold)
         rows = rows.join(texts, ["haystack", "tokens"])
     else:
         rows = rows.where(contains_keyword(q, F.col("haystack"), F.col("tokens"))).withColumn("score", F.lit(1.0))
-    return rows.drop("cand", "any_cand").orderBy(F.desc("score"), "price", "supplier", "sku", "name").limit(limit)
+    return rows.drop("cand").orderBy(F.desc("score"), "price", "supplier", "sku", "name").limit(limit)

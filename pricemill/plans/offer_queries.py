@@ -449,8 +449,8 @@ def import_skip(spark, sf_dir):
     from ..sources.manifest import to_import
 
     files = table(spark, sf_dir, "price_file")
-    half = files.agg(F.median("mtime").alias("m"))
-    return to_import(files, files.crossJoin(F.broadcast(half)).where("mtime < m")).select("file_id", "supplier", "path")  # one row
+    half = files.agg(F.median("mtime")).scalar()
+    return to_import(files, files.where(F.col("mtime") < half)).select("file_id", "supplier", "path")
 
 
 @query("""
