@@ -40,7 +40,8 @@ def with_unit(products: DataFrame, default: str = "USD") -> DataFrame:
     """products with unit_code, unit_factor (of the currency in one unit) and said ('currency', 'text', 'default').
 
     A filled currency decides, also where it names no known unit (the unit is then null); else what the name,
-    the description or the sku (they may be exchanged) says of the price; else the default.
+    the description or the sku (they may be exchanged) says of the price; else the default. Columns that bear the
+    new ones' names are replaced.
     """
     filled = F.col("currency").isNotNull() & ~F.col("currency").rlike(r"^[\s\p{Z}]*$")
     text = F.concat_ws("\n", "name", "description", "sku")
@@ -49,9 +50,11 @@ def with_unit(products: DataFrame, default: str = "USD") -> DataFrame:
     rows = rows.withColumn("__said", F.when(F.col("said").isNull(), _said(text)).otherwise(F.col("currency")))
     rows = rows.withColumn("__said", F.lower(F.regexp_replace("__said", r"[\s\p{Z}_.]+", " ")))
     rows = rows.withColumn("said", F.coalesce("said", F.when(F.col("__said") != "", "text").otherwise("default")))
-    rows = rows.withColumn("unit_code", F.when(F.col("said") == "default", default).otherwise(_code(F.col("__said"))))
+    code = F.when(F.col("said") == "default", default).otherwise(_code(F.col("__said")))
     factor = F.when(F.col("__said").rlike(rf"(?u){HUNDREDTH}"), 0.01).when(F.col("__said").rlike(rf"(?u){THOUSAND}"), 1000.0).otherwise(1.0)
-    return rows.withColumn("unit_factor", factor).drop("__said")
+    # made by a generator: conditions on the unit stay above it and don't spell out its expressions again
+    keep = [c for c in rows.columns if c not in ("__said", "unit_code", "unit_factor")]
+    return rows.select(*keep, F.inline(F.array(F.struct(code.alias("unit_code"), factor.alias("unit_factor")))))
 
 
 def rates(fx: DataFrame) -> DataFrame:
