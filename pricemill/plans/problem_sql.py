@@ -93,4 +93,19 @@ d AS (
 SELECT template_id, field, 'added' AS change_kind FROM d WHERE h0 IS NULL UNION ALL SELECT template_id, field, 'removed' FROM d WHERE h1 IS NULL
 UNION ALL SELECT template_id, field, 'renamed' FROM d WHERE h0 <> h1 UNION ALL SELECT template_id, field, 'retyped' FROM d WHERE k0 <> k1"""
 
-SQL = {"p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+_PRICE = r"regexp_replace(regexp_replace(regexp_replace(replace(price, '−', '-'), '(^|[^0-9])[.,]', '\1', 'g'), '[.,]($|[^0-9])', '\1', 'g'), '[^0-9.,+\-]', '', 'g')"
+P4_SAMPLE_PRICES = f"""
+WITH d AS (SELECT id_internal, CASE WHEN regexp_full_match(price, '{_AMOUNT}') THEN {_PRICE} END AS d FROM sample_raw)
+SELECT id_internal, CASE WHEN regexp_full_match(d, '[+-]?[0-9]{{1,3}}((,[0-9]{{3}})+|(\\.[0-9]{{3}})+)') THEN CAST(regexp_replace(d, '[.,]', '', 'g') AS DOUBLE)
+    WHEN regexp_matches(d, '[.,]') THEN CAST(regexp_replace(regexp_extract(d, '^(.*)[.,]([0-9]+)$', 1), '[.,]', '', 'g') || '.' || regexp_extract(d, '^(.*)[.,]([0-9]+)$', 2) AS DOUBLE)
+    ELSE CAST(d AS DOUBLE) END AS price FROM d"""
+P4_INVALID_VALUES = f"""
+SELECT DISTINCT price AS value, CASE WHEN {_is_blank("price")} THEN 'blank' ELSE 'not_an_amount' END AS why FROM sample_raw WHERE price IS NOT NULL AND ({_is_blank("price")} OR NOT regexp_full_match(price, '{_AMOUNT}'))"""
+P5_UNITS = P5_FOUND.rsplit("SELECT product_id, CAST", 1)[0].replace("SELECT product_id, price, CASE WHEN x = ''", "SELECT CASE WHEN filled THEN 'currency' WHEN x <> '' THEN 'text' ELSE 'default' END AS said, CASE WHEN x = ''") + "SELECT code AS unit_code, factor AS unit_factor, said, count(*) AS n FROM k GROUP BY ALL"
+
+P7_LIFESPANS = P7_FOUND.split(",\nj AS (", 1)[0] + """,
+i AS (SELECT s AS supplier_key, field, template_id, n, n - row_number() OVER (PARTITION BY s, field ORDER BY n) AS run FROM f JOIN v USING (template_id))
+SELECT supplier_key, field, dense_rank() OVER (PARTITION BY supplier_key, field ORDER BY run) AS island, arg_min(template_id, n) AS first_template_id, arg_max(template_id, n) AS last_template_id, count(*) AS n_versions
+FROM i GROUP BY supplier_key, field, run"""
+
+SQL = {"p4_found": P4_FOUND, "p4_sample_prices": P4_SAMPLE_PRICES, "p4_invalid_values": P4_INVALID_VALUES, "p5_found": P5_FOUND, "p5_units": P5_UNITS, "p7_found": P7_FOUND, "p7_lifespans": P7_LIFESPANS}
