@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows sorted at once when a run is formed; it bounds a Python worker's memory, not the result.
 RUN_ROWS = 1 << 18
+#: Rows, about, that a merge holds as Python values at a time.
+BLOCK_ROWS = 1 << 17
 
 _KEYS = [("g", "ascending"), ("s1", "ascending"), ("s2", "ascending"), ("id", "ascending")]
 
@@ -123,9 +125,16 @@ def _merge_bucket(n: int):
         codes = code[enc.indices.to_numpy()]
         s1, s2, ids = (t[c].to_numpy() for c in ("s1", "s2", "id"))
         cuts = [0, *(np.flatnonzero(np.diff(t["run"].to_numpy())) + 1), t.num_rows]
-        runs = [tuple(x[a:b].tolist() for x in (codes, s1, s2, ids)) for a, b in zip(cuts, cuts[1:])]
-        out = np.array(list(merge_runs(runs, n)), np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(out[:, 0])), pa.array(out[:, 1]), pa.array(out[:, 2])], names=["g", "rnk", "id"])
+        # whole groups at a time, so that only a block's rows are Python values at once
+        step = max(1, len(names) * BLOCK_ROWS // t.num_rows)
+        for low in range(0, len(names), step):
+            runs = []
+            for a, b in zip(cuts, cuts[1:]):
+                x, y = a + np.searchsorted(codes[a:b], [low, low + step])
+                if x < y:
+                    runs.append(tuple(v[x:y].tolist() for v in (codes, s1, s2, ids)))
+            out = np.array(list(merge_runs(runs, n)), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(out[:, 0])), pa.array(out[:, 1]), pa.array(out[:, 2])], names=["g", "rnk", "id"])
 
     return run
 

@@ -26,6 +26,7 @@ def run(spark, rows, n=3):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topn, "RUN_ROWS", 50)
+    monkeypatch.setattr(topn, "BLOCK_ROWS", 20)
     rnd = random.Random(3)
     rows = [("hot" if i % 3 == 0 else rnd.choice(["a", "b", "", None, f"g{rnd.randint(0, 40)}"]), rnd.choice([1.0, 2.0, 2.5, None, float("nan")]), rnd.choice([None, datetime(2024, 1, rnd.randint(1, 9))]), i) for i in range(900)]
     assert run(spark, rows) == best(rows, 3)
