@@ -6,6 +6,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,6 +125,8 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _OPEN_WORDS = re.compile(r"[AN](?:[ .-]*[AN])*")
 #: A word is kept in shapes if it is one of this many of its field's words, so at most as many are kept.
 KEPT_WORDS = 500
+#: Bounds of a code book: codes of each level of a field, and characters of a code.
+MOST_CODES, LONGEST_CODE = 20_000, 200
 
 
 def codes(value: str, kept: frozenset[str] = frozenset()) -> tuple[str, str, str, int]:
@@ -163,11 +166,12 @@ def candidates(text: str) -> list[tuple[str, list[str]]]:
 
 
 def _parses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, field, dialects, parses): all different parses of each field."""
     for b in batches:
-        out = [(i, f, d, v, len(all_)) for i, f, t in zip(*(c.to_pylist() for c in b.columns)) if t is not None for all_ in [candidates(t)] for d, v in all_]
-        cols = zip(*out) if out else ([],) * 5
-        kinds = (b.column(0).type, pa.string(), pa.string(), pa.list_(pa.string()), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "field", "dialect", "vals", "parses"])
+        out = [(i, f, *map(list, zip(*candidates(t)))) for i, f, t in zip(*(c.to_pylist() for c in b.columns)) if t is not None]
+        cols = zip(*out) if out else ([],) * 4
+        kinds = (b.column(0).type, pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "field", "dialects", "parses"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,30 +183,61 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _code_rows(kept: dict[str, frozenset[str]]):
-    """(field, level, code, n) of all values, counted per batch before they leave the task."""
+    """(field, level, code, n) of all values, counted per batch before they leave the task; too long codes as null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count = Counter((f, level, code) for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()) for v in vs for level, code in enumerate(codes(v, kept.get(f, frozenset()))[:3]))
+            count: Counter = Counter()
+            for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()):
+                for v in vs:
+                    for level, code in enumerate(codes(v, kept.get(f, frozenset()))[:3]):
+                        count[f, level, code if len(code) <= LONGEST_CODE else None] += 1
             f, level, code = zip(*count) if count else ([],) * 3
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(level, pa.int32()), pa.array(code, pa.string()), pa.array(list(count.values()), pa.int64())], names=["field", "level", "code", "n"])
 
     return run
 
 
-def _needs(kept: dict[str, frozenset[str]]):
-    """(id, field, dialect, k, level, code, left_open): the codes that each value of each parse could use."""
+class CodeBook:
+    """Bits of a field's values: of three codes the cheapest, with what the code leaves open."""
+
+    def __init__(self, bits: dict[tuple[int, str], float], totals: dict[int, float], kept: frozenset[str], memory: int = 1 << 16):
+        self.bits, self.kept, self.memory, self.known = bits, kept, memory, {}
+        self.unseen = [log2(totals.get(level, 1) + 2) for level in range(3)]
+
+    def of(self, value: str) -> float:
+        if (best := self.known.get(value)) is None:
+            *names, open_ = codes(value, self.kept)
+            best = float("inf")
+            for level, code in enumerate(names):
+                b = self.bits.get((level, code))
+                if b is None:
+                    if not level:  # a value never seen has no code of its own
+                        continue
+                    # a shape never seen is spelt out
+                    b = self.unseen[level] + CHARACTER_BITS * len(code) + DELIMITER_BITS * sum(map(code.count, ",;|\t\n"))
+                best = min(best, b + level * LEVEL_BITS + (OPEN_BITS * open_ if level else 0))
+            if len(self.known) > self.memory:
+                self.known.clear()
+            self.known[value] = best
+        return best
+
+    def parse(self, values: list[str]) -> float:
+        return DIALECT_BITS + SEPARATOR_BITS * max(0, len(values) - 1) + sum(map(self.of, values))
+
+
+def _choose(books: dict[str, tuple], kept: dict[str, frozenset[str]]):
+    """The cheapest parse of each field; ties go to the dialect named first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = {f: CodeBook(*books.get(f, ({}, {})), k) for f, k in kept.items()}
         for b in batches:
-            out = []
-            for i, f, d, vs in zip(*(b.column(c).to_pylist() for c in ("id", "field", "dialect", "vals"))):
-                for k, v in enumerate(vs):
-                    *names, open_ = codes(v, kept.get(f, frozenset()))
-                    out += [(i, f, d, k, level, code, open_ if level else 0) for level, code in enumerate(names)]
-            cols = zip(*out) if out else ([],) * 7
-            kinds = (b.column("id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "field", "dialect", "k", "level", "code", "left_open"])
+            dialect, values = [], []
+            for f, ds, ps in zip(b.column("field").to_pylist(), b.column("dialects").to_pylist(), b.column("parses").to_pylist()):
+                at = min(range(len(ps)), key=lambda k: (round(ready[f].parse(ps[k]), 6), k)) if len(ps) > 1 else 0
+                dialect.append(ds[at])
+                values.append(ps[at])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("field"), pa.array(dialect, pa.string()), pa.array(values, pa.list_(pa.string()))], names=["id", "field", "dialect", "vals"])
 
     return run
 
@@ -211,39 +246,38 @@ def choose_dialects(df: DataFrame, row_id: str, fields: list[str], rounds: int =
     """(id, field, dialect, vals ARRAY<STRING>): each non-null field in its cheapest dialect.
 
     The code table counts each value and its two shapes, in the first round over all fields that read alike in
-    every dialect, in the next over all fields as then chosen. A parse costs its dialect, its separators and for each value the cheapest of its three
-    codes: -log2 of the code's share (a shape never seen: its characters) and what the code leaves open. The costs are joined and
-    summed as rows, so neither table nor values are held by one machine; ties go to the dialect named first.
+    every dialect, in the next over all fields as then chosen. A parse costs its dialect, its separators and for
+    each value the cheapest of its three codes: -log2 of the code's share (a shape never seen: its characters)
+    and what the code leaves open. Counting is the only shuffle, combined in the tasks; the books that go to the
+    tasks hold codes with at least one in MOST_CODES of their level's values, of LONGEST_CODE characters at
+    most, so their size has a bound, and choosing is local to a field.
     """
     stack = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
     rows = df.select(F.col(row_id).alias("id"), F.expr(f"stack({len(fields)}, {stack}) as (field, text)")).where("text IS NOT NULL")
     id_type = rows.schema["id"].dataType.simpleString()
-    parses = stored(rows.mapInArrow(_parses, f"id {id_type}, field string, dialect string, vals array<string>, parses int"), "parses")
-    clear, open_ = parses.where("parses = 1"), parses.where("parses > 1")
-    words = clear.mapInArrow(_words, "field string, word string, n long").groupBy("field", "word").agg(F.sum("n").alias("n"))
-    words = stored(words, "words")
+    parses = stored(rows.mapInArrow(_parses, f"id {id_type}, field string, dialects array<string>, parses array<array<string>>"), "parses")
+    read = parses.where(F.size("parses") == 1).select("field", F.col("parses")[0].alias("vals"))
+
+    words = stored(read.mapInArrow(_words, "field string, word string, n long").groupBy("field", "word").agg(F.sum("n").alias("n")), "words")
     least = words.groupBy("field").agg((F.sum("n") / KEPT_WORDS).alias("least"))  # a row a field
-    kept = {f: set() for f in fields}
+    kept: dict[str, set[str]] = {f: set() for f in fields}
     for r in words.join(F.broadcast(least), "field").where("n >= least").collect():  # KEPT_WORDS a field at most
         kept[r.field].add(r.word)
-    kept = {f: frozenset(w) for f, w in kept.items()}
-    needs = open_.mapInArrow(_needs(kept), f"id {id_type}, field string, dialect string, k int, level int, code string, left_open int")
-    rank = F.create_map(*(F.lit(x) for k, d in enumerate(DIALECTS) for x in (d, k)))
-    read = clear
+    frozen = {f: frozenset(w) for f, w in kept.items()}
+
     for turn in range(rounds):
-        table = read.mapInArrow(_code_rows(kept), "field string, level int, code string, n long").groupBy("field", "level", "code").agg(F.sum("n").alias("n"))
+        counted = read.mapInArrow(_code_rows(frozen), "field string, level int, code string, n long").groupBy("field", "level", "code").agg(F.sum("n").alias("n"))
+        counted = stored(counted, "codes")
+        totals = counted.groupBy("field", "level").agg(F.sum("n").alias("total"))  # three rows a field
         # a code that one value of an earlier choice has alone would only confirm that choice
-        table = stored(table.where("n > 1") if turn else table, "codes")
-        totals = table.groupBy("field", "level").agg(F.sum("n").alias("total"))  # three rows a field
-        bits = table.join(F.broadcast(totals), ["field", "level"]).select("field", "level", "code", (-F.log2(F.col("n") / F.col("total"))).alias("bits"))
-        priced = needs.join(bits, ["field", "level", "code"], "left").join(F.broadcast(totals), ["field", "level"], "left")
-        # a value never seen has no code of its own; a shape never seen is spelt out
-        spelt = F.when(F.col("level") > 0, F.log2(F.coalesce("total", F.lit(1)) + 2) + CHARACTER_BITS * F.length("code") + DELIMITER_BITS * (F.length("code") - F.length(F.translate("code", ",;|\t\n", ""))))
-        value = priced.groupBy("id", "field", "dialect", "k").agg(F.min(F.coalesce("bits", spelt) + LEVEL_BITS * F.col("level") + OPEN_BITS * F.col("left_open")).alias("bits"))
-        cost = value.groupBy("id", "field", "dialect").agg((F.sum("bits") + SEPARATOR_BITS * (F.count("*") - 1) + DIALECT_BITS).alias("bits"))
-        best = cost.groupBy("id", "field").agg(F.min_by("dialect", F.struct(F.round("bits", 6), rank[F.col("dialect")])).alias("dialect"))
-        chosen = open_.join(best, ["id", "field", "dialect"])
-        read = stored(clear.select("id", "field", "dialect", "vals").unionByName(chosen.select("id", "field", "dialect", "vals")), "read")
+        common = counted.join(F.broadcast(totals), ["field", "level"]).where(f"code IS NOT NULL AND n > {int(turn > 0)} AND n >= total / {MOST_CODES}")
+        books: dict[str, tuple] = {f: ({}, {}) for f in fields}
+        for r in common.collect():  # MOST_CODES for each level of a field at most
+            books[r.field][0][r.level, r.code] = -log2(r.n / r.total)
+        for r in totals.collect():
+            books[r.field][1][r.level] = r.total
+        chosen = parses.mapInArrow(_choose(books, frozen), f"id {id_type}, field string, dialect string, vals array<string>")
+        read = chosen if turn == rounds - 1 else stored(chosen, "read")
     return read
 
 
