@@ -13,7 +13,7 @@ ODD = ["", " ", "  ", "a  b", " a", "a ", "\n\n x", "a \n b", "it's DON'T", "x"
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library():
     import tiktoken
 
     with open(bpe.DEFAULT_RANKS, "rb") as f:
@@ -28,21 +28,21 @@ def encode(texts):
     return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
-def test_odd_texts(reference):
-    assert encode(ODD) == [reference.encode_ordinary(t) for t in ODD]
+def test_odd_texts(library):
+    assert encode(ODD) == [library.encode_ordinary(t) for t in ODD]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab'sтіß 　.,1"), st.characters(exclude_categories=["Cs"])), max_size=40), min_size=1, max_size=4))
-def test_any_text(reference, texts):
-    assert encode(texts) == [reference.encode_ordinary(t) for t in texts]
+def test_any_text(library, texts):
+    assert encode(texts) == [library.encode_ordinary(t) for t in texts]
 
 
-def test_table(spark, reference):
+def test_table(spark, library):
     df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (2, None, 7), (3, "", 8), (None, "x", 9)], "doc_id long, text string, ids long")
     got = sorted([(r.doc_id or 0, r.ids) for r in bpe.encode_corpus(df).collect()])
-    ab = reference.encode_ordinary("a b")
-    assert got == sorted([(1, ab), (1, ab), (2, []), (3, []), (0, reference.encode_ordinary("x"))])
+    ab = library.encode_ordinary("a b")
+    assert got == sorted([(1, ab), (1, ab), (2, []), (3, []), (0, library.encode_ordinary("x"))])
     assert bpe.encode_corpus(df.limit(0)).count() == 0
     assert {r.doc_id: r.n_tokens for r in bpe.count_tokens(df, ["doc_id"]).collect()} == {1: 2, 2: 0, 3: 0, None: 1}
 
@@ -57,7 +57,7 @@ def test_round_trip(spark, sf):
         assert b"".join(back[i] for i in r.ids).decode() == (texts[r.doc_id] or "")
 
 
-def test_shared_prefixes_are_encoded_once(reference):
+def test_shared_prefixes_are_encoded_once(library):
     enc = bpe.PrefixEncoder(bpe.encoder(bpe.DEFAULT_RANKS).ranks)
     words = [w.encode() for w in ("token", "tokens", "tokenizer", "tokenizers", "to", "грн", "гривня")]
-    assert enc.encode_words(words) == {w: reference.encode_ordinary(w.decode()) for w in words}
+    assert enc.encode_words(words) == {w: library.encode_ordinary(w.decode()) for w in words}
