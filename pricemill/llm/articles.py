@@ -178,6 +178,8 @@ def parse(sku: str | None, name: str | None, description: str | None, brands: Br
     if kind is None:
         return out
     out["kind"] = kind
+    if part and part.get("edition") in ("2", "3") and len(part["values"]) + 1 == len(PART_NUMBER[kind]):
+        part["values"].insert(0, part.pop("edition"))  # the first property, not an edition
     models: list[re.Match] = []
     for m in _MODEL.finditer(name):
         # a number before it, unless of another model, makes two letters a unit
@@ -249,17 +251,18 @@ def brand_names(products: DataFrame) -> list[str]:
 
 
 def parse_listings(products: DataFrame) -> DataFrame:
-    """(product_id, supplier, key, brand, gtin, part, copy_key, name_key): what identifies each listing.
+    """(product_id, supplier, key, brand, gtin, part, copy_key, name_key, stated): what identifies each listing.
 
     key is article_key(); part is a maker's part number given as the sku; copy_key is sku and name, name_key
-    supplier and name, by letters and digits only and without sales talk at the name's end.
+    supplier and name, by letters and digits only and without sales talk at the name's end; stated holds
+    "property=value" of all that tells articles apart, for a listing with a key also that it has no edition.
     """
     names = brand_names(products)
     rows = products.select(F.col("product_id").cast("long").alias("product_id"), F.col("supplier").cast("string").alias("supplier"), F.col("sku").cast("string").alias("sku"), F.col("name").cast("string").alias("name"), F.col("description").cast("string").alias("description"), order_free(bare("sku"), bare("name")).alias("copy_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         brands = Brands(names)
-        out_names = ["product_id", "supplier", "key", "brand", "gtin", "part", "copy_key", "name_key"]
+        out_names = ["product_id", "supplier", "key", "brand", "gtin", "part", "copy_key", "name_key", "stated"]
         for b in batches:
             out = []
             for sku, name, about, supplier in zip(*(b.column(c).to_pylist() for c in ("sku", "name", "description", "supplier"))):
@@ -267,35 +270,117 @@ def parse_listings(products: DataFrame) -> DataFrame:
                 text = (sku if "kind" in a and not any(p.search(plain(name)) for _, p in _KIND) else name) or ""
                 only = re.sub(r"[\W_]+", "", _TALK.sub("", text.lower()))
                 part = (sku or "").strip().lower()
-                out.append((article_key(a), a.get("brand"), a.get("gtin"), part if _PART.match(part) else None, f"{supplier}|{only}" if only else None))
-            key, brand, gtin, part, name_key = zip(*out) if out else ([],) * 5
+                key = article_key(a)
+                told = {p: v for p, v in a.items() if p not in ("brand", "gtin")} | ({"edition": a.get("edition", "")} if key else {})
+                if a.get("kind") == "case" and "for" not in a:  # the only model may be the phone's
+                    told = {p: v for p, v in told.items() if p not in ("model", "edition")}
+                out.append((key, a.get("brand"), a.get("gtin"), part if _PART.match(part) else None, f"{supplier}|{only}" if only else None, [f"{p}={v}" for p, v in told.items()]))
+            key, brand, gtin, part, name_key, told = zip(*out) if out else ([],) * 6
             text = lambda v: pa.array(v, pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("product_id"), b.column("supplier"), text(key), text(brand), text(gtin), text(part), b.column("copy_key"), text(name_key)], names=out_names)
+            yield pa.RecordBatch.from_arrays([b.column("product_id"), b.column("supplier"), text(key), text(brand), text(gtin), text(part), b.column("copy_key"), text(name_key), pa.array(told, pa.list_(pa.string()))], names=out_names)
 
-    return rows.mapInArrow(run, "product_id long, supplier string, key string, brand string, gtin string, part string, copy_key string, name_key string")
+    return rows.mapInArrow(run, "product_id long, supplier string, key string, brand string, gtin string, part string, copy_key string, name_key string, stated array<string>")
+
+
+#: Identifiers from the most to the least reliable.
+IDENTIFIERS = ("gtin", "copy_key", "name_key", "part")
+
+
+def _edges(rows: DataFrame, *more: str) -> DataFrame:
+    """(product_id, *more, place, value): each row's identifiers, place being that in IDENTIFIERS."""
+    return rows.select("product_id", *more, F.posexplode(F.array(*IDENTIFIERS)).alias("place", "value")).where("value IS NOT NULL")
+
+
+def _conflicting(rows: DataFrame, *group: str) -> DataFrame:
+    """The groups of rows (with stated) that state two values of one property."""
+    told = rows.select(*group, F.explode("stated").alias("t")).select(*group, F.substring_index("t", "=", 1).alias("p"), "t")
+    return told.groupBy(*group, "p").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select(*group).distinct()
+
+
+def _with_editions(rows: DataFrame) -> DataFrame:
+    """Rows with a key; one without edition takes the key that differs in the edition alone, if an identifier leads to one such only."""
+    base = F.concat_ws("|", F.filter("stated", lambda t: ~t.startswith("edition=")))
+    full = rows.where("key IS NOT NULL").withColumn("base", F.array_join(F.array_sort(F.split(base, r"\|")), "|")).withColumn("bare", F.array_contains("stated", "edition="))
+    both = full.groupBy("base").agg(F.min("bare").alias("lo"), F.max("bare").alias("hi")).where("lo <> hi").select("base")
+    edges = stored(_edges(full.join(both, "base", "left_semi"), "base", "bare", "key"), "edition_edges")
+    one = edges.where("NOT bare").groupBy("place", "value", "base").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo = hi")
+    taken = edges.where("bare").join(one, ["place", "value", "base"]).groupBy("product_id").agg(F.min(F.struct("place", "lo")).alias("one"))
+    return full.join(taken, "product_id", "left").select("product_id", F.coalesce("one.lo", "key").alias("key"))
+
+
+def _reach(rows: DataFrame) -> DataFrame:
+    """(product_id, key): rows with an article key and those that identifiers join to them, over any number of steps.
+
+    In each step a row joins through its most reliable identifier whose joined rows are all of one article,
+    unless it states another value of a property than that article.
+    """
+    told = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("stated").alias("of_key"))
+    edges = stored(_edges(rows).join(_edges(rows.where("key IS NULL")).select("place", "value").distinct(), ["place", "value"], "left_semi"), "edges")
+    joined = stored(_with_editions(rows), "joined")
+    open_ = rows.where("key IS NULL").select("product_id", "stated")
+    while True:
+        one = edges.join(joined, "product_id").groupBy("place", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo = hi").select("place", "value", F.col("lo").alias("key"))
+        more = edges.join(open_.join(joined, "product_id", "left_anti"), "product_id").join(one, ["place", "value"]).join(told, "key")
+        both = F.array_union("stated", "of_key")
+        agree = F.size(F.array_distinct(F.transform(both, lambda t: F.substring_index(t, "=", 1)))) == F.size(both)
+        more = stored(more.where(agree).groupBy("product_id").agg(F.min(F.struct("place", "key")).alias("one")).select("product_id", F.col("one.key").alias("key")), "reached")
+        if more.isEmpty():
+            return joined
+        joined = joined.unionAll(more)
+
+
+def _unkeyed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """(product_id, component): components of the rows that reach no article key, by least labels over their identifiers.
+
+    An identifier counts if no joined row has it and its rows state no two values of a property, a trade or
+    part number or a brand; a copy needs both sku and name, a seller's own wording a model. A component that
+    states two such values is split: its rows meet only in their most reliable identifier.
+    """
+    more = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), c)) for c in ("brand", "gtin", "part")]
+    rest = rows.join(joined, "product_id", "left_anti").withColumn("copy_key", F.when(F.col("copy_key").rlike("^[^\u0000\u0001]+\u0001[^\u0000\u0001]+$"), F.col("copy_key")))
+    rest = rest.withColumn("name_key", F.when(F.exists("stated", lambda t: t.startswith("model=")), F.col("name_key"))).withColumn("stated", F.concat("stated", F.array_compact(F.array(*more))))
+    told = stored(rest.select("product_id", "stated"), "unkeyed")
+    edges = stored(_edges(rest), "unkeyed_edges")
+    if edges.isEmpty():
+        return edges.select("product_id", F.lit("").alias("component"))
+    taken = _edges(rows).join(edges.select("place", "value").distinct(), ["place", "value"], "left_semi").join(joined, "product_id").select("place", "value").distinct()
+    clash = _conflicting(edges.join(told, "product_id"), "place", "value")
+    edges = stored(edges.join(taken, ["place", "value"], "left_anti").join(clash, ["place", "value"], "left_anti"), "unkeyed_edges")
+    labels = stored(edges.select("product_id", F.col("product_id").alias("label")).distinct(), "labels")
+    while True:
+        least = edges.join(labels, "product_id").groupBy("place", "value").agg(F.min("label").alias("label"))
+        new = edges.join(least, ["place", "value"]).groupBy("product_id").agg(F.min("label").alias("label"))
+        new = stored(new, "labels")
+        if new.join(labels, ["product_id", "label"], "left_anti").isEmpty():
+            break
+        labels = new
+    split = _conflicting(labels.join(told, "product_id"), "label").withColumn("split", F.lit(True))
+    best = edges.groupBy("product_id").agg(F.min(F.struct("place", "value")).alias("best"))
+    named = labels.join(split, "label", "left").join(best, "product_id")
+    named = named.select("product_id", F.when(F.col("split"), F.concat_ws("|", F.lit("identifier"), "best.place", "best.value")).otherwise(F.concat_ws("|", F.lit("listing"), "label")).alias("component"))
+    shared = named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return named.join(shared, "component", "left_semi").select("product_id", "component")
 
 
 def article_components(products: DataFrame) -> DataFrame:
     """(product_id, supplier, component STRING): listings of one article share the component.
 
-    Listings that state everything meet in their article key. One that doesn't (cut or run-together wording)
-    joins a component through a reliable identifier it shares: trade number, copied sku and name, the
-    supplier's own wording, maker's part number, in this order; guard: only if all complete listings with
-    that identifier are of one article. A component never holds two known brands: where an article key has
+    Listings that state everything meet in their article key; one that gives no edition takes another's
+    through a shared identifier. One that doesn't state everything (cut or run-together wording) joins through
+    identifiers, over other such listings too: trade number, copied sku and name, the supplier's own wording,
+    maker's part number, in this order; guard: only if all joined listings with that identifier are of one
+    article and it states nothing else than that article. Listings that reach none form components among
+    themselves, guarded likewise. A component never holds two known brands: where an article key has
     several, it is split by brand and listings without one stay out. Listings that join nothing have no row.
     Every step is an aggregate or an equi-join on those keys. Null and empty fields state nothing.
     """
-    rows = stored(parse_listings(products), "listings")
-    known = rows.where("key IS NOT NULL").select("product_id", "supplier", "key", "brand")
-    rest = rows.where("key IS NULL")
-    for c in ("gtin", "copy_key", "name_key", "part"):
-        one = rows.where(f"key IS NOT NULL AND {c} IS NOT NULL").groupBy(c).agg(F.min("key").alias(f"{c}_lo"), F.max("key").alias(f"{c}_hi")).where(f"{c}_lo = {c}_hi").select(c, f"{c}_lo")
-        rest = rest.join(one, c, "left")
-    joined = rest.select("product_id", "supplier", F.coalesce("gtin_lo", "copy_key_lo", "name_key_lo", "part_lo").alias("key"), "brand").where("key IS NOT NULL")
-    rows = known.unionAll(joined)
+    listings = stored(parse_listings(products), "listings")
+    joined = _reach(listings)
+    rows = listings.drop("key").join(joined, "product_id").select("product_id", "supplier", "key", "brand")
     brands = rows.groupBy("key").agg(F.min("brand").alias("lo"), F.max("brand").alias("hi"))
     rows = rows.join(brands, "key")
-    return rows.where("lo IS NULL OR lo = hi OR brand IS NOT NULL").select("product_id", "supplier", F.when(F.col("lo") < F.col("hi"), F.concat_ws("|", "key", "brand")).otherwise(F.col("key")).alias("component"))
+    rows = rows.where("lo IS NULL OR lo = hi OR brand IS NOT NULL").select("product_id", "supplier", F.when(F.col("lo") < F.col("hi"), F.concat_ws("|", "key", "brand")).otherwise(F.col("key")).alias("component"))
+    return rows.unionAll(listings.select("product_id", "supplier").join(_unkeyed(listings, joined), "product_id"))
 
 
 def same_article_pairs(products: DataFrame) -> DataFrame:

@@ -70,3 +70,45 @@ def test_two_brands_split(spark):
     df = spark.createDataFrame(rows, "product_id long, sku string, name string, description string, supplier string")
     assert {tuple(r) for r in same_article_pairs(df).collect()} == {(1, 3)}
     assert article_components(df).count() == 3
+
+
+def _pairs(spark, rows):
+    df = spark.createDataFrame(rows, "product_id long, sku string, name string, description string, supplier string")
+    return {tuple(r) for r in same_article_pairs(df).collect()}
+
+
+def test_listings_without_a_complete_one(spark):
+    """No listing states the colour, or is of a known kind: a trade number or a copy joins them all the same."""
+    ean = "EAN: 4006381333931"
+    rows = [(1, "x-1", "Phone AB-1234 8 GB RAM 128 GB", ean, "a"), (2, "y-1", "Смартфон AB1234 128GB", ean, "b"), (3, "z-1", "Garden hose", "EAN 96385074", "a"), (4, "z-2", "Шланг садовий", "ean: 96385074", "b")]
+    rows += [(5, "q-7", "Blue hammer", None, "a"), (6, "q 7", "BLUE hammer!", None, "b"), (7, None, None, None, "a"), (8, None, None, None, "b"), (9, None, "Hammer", None, "a"), (10, None, "Hammer", None, "b")]
+    assert _pairs(spark, rows) == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_listing_over_an_incomplete_one(spark):
+    """3 shares no identifier with 1, but 2 does with both."""
+    ean = "EAN: 4006381333931"
+    rows = [(1, "x-1", "SSD Wexlario AB-1234 1 TB", ean, "a"), (2, "y-1", "SSD Wexlario AB-1234", ean, "b"), (3, "y-1", "SSD Wexlario, AB-1234", None, "c"), (4, "y-1", "ssd wexlario ab 1234", "2 TB", "d")]
+    assert _pairs(spark, rows[:3]) == {(1, 2), (1, 3), (2, 3)}
+    assert _pairs(spark, rows) == {(1, 2), (3, 4)}  # the nearer complete listing has the copy
+
+
+def test_guard_of_stated_properties(spark):
+    ean = "EAN: 4006381333931"
+    red, black = (1, "x-1", "Phone AB-1234 red", ean, "a"), (2, "y-1", "Phone AB-1234 black", ean, "b")
+    assert _pairs(spark, [red, black]) == set()
+    assert _pairs(spark, [red, black, (3, "z-1", "Phone AB-1234 black 8 GB RAM 128 GB", ean, "c")]) == {(2, 3)}
+    other = (4, "q-1", "Phone AB-1234 red", "EAN 96385074", "c")
+    assert _pairs(spark, [red, other, (5, "q-2", "Phone AB-1234", ean, "d")]) == {(1, 5)}
+
+
+def test_edition_from_a_trade_number(spark):
+    ean = "EAN: 4006381333931"
+    rows = [(1, "x-1", "SSD AB-1234 Lite 1 TB", ean, "a"), (2, "x-2", "SSD AB-1234 1 TB", ean, "b"), (3, "y-1", "SSD AB-1234 1 TB", None, "c")]
+    assert _pairs(spark, rows) == {(1, 2)}
+
+
+def test_part_number_without_edition():
+    """KEKANIGO-3-60-RED is 3 m long, not the third edition."""
+    assert key("cable kekanigo", None, "KEKANIGO-3-60-RED") == key("Cable Kekanigo 3 m 60 W red") == "cable|kekanigo||3000|60|red"
+    assert key("cable kekanigo", None, "KEKANIGO-3-2-60-RED") == "cable|kekanigo|3|2000|60|red"
