@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -125,7 +126,7 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _OPEN_WORDS = re.compile(r"[AN](?:[ .-]*[AN])*")
 #: A word is kept in shapes if it is one of this many of its field's words, so at most as many are kept.
 KEPT_WORDS = 500
-#: Bounds of a code book: codes of each level of a field, and characters of a code.
+#: Bounds of a code book: codes of each level of a field, and characters of a code; others are looked up by joins.
 MOST_CODES, LONGEST_CODE = 20_000, 200
 
 
@@ -183,7 +184,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _code_rows(kept: dict[str, frozenset[str]]):
-    """(field, level, code, n) of all values, counted per batch before they leave the task; too long codes as null."""
+    """(field, level, code, n) of all values, counted per batch before they leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,18 +192,45 @@ def _code_rows(kept: dict[str, frozenset[str]]):
             for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()):
                 for v in vs:
                     for level, code in enumerate(codes(v, kept.get(f, frozenset()))[:3]):
-                        count[f, level, code if len(code) <= LONGEST_CODE else None] += 1
+                        count[f, level, code] += 1
             f, level, code = zip(*count) if count else ([],) * 3
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(level, pa.int32()), pa.array(code, pa.string()), pa.array(list(count.values()), pa.int64())], names=["field", "level", "code", "n"])
 
     return run
 
 
+def _digest(code: str) -> bytes:
+    """As Spark's unhex(md5(code))."""
+    return hashlib.md5(code.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def _open_codes(books: dict[str, tuple], kept: dict[str, frozenset[str]]):
+    """(id, field, level, digest): the codes in the parses of each field that its book lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, field, level, digest = [], [], [], []
+            for i, (f, ps) in enumerate(zip(b.column("field").to_pylist(), b.column("parses").to_pylist())):
+                bits, k = books[f][0], kept.get(f, frozenset())
+                for key in {(n, c) for v in {v for p in ps for v in p} for n, c in enumerate(codes(v, k)[:3])}:
+                    if key not in bits:
+                        at.append(i)
+                        field.append(f)
+                        level.append(key[0])
+                        digest.append(_digest(key[1]))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(field, pa.string()), pa.array(level, pa.int32()), pa.array(digest, pa.binary())], names=["id", "field", "level", "digest"])
+
+    return run
+
+
 class CodeBook:
-    """Bits of a field's values: of three codes the cheapest, with what the code leaves open."""
+    """Bits of a field's values: of three codes the cheapest, with what the code leaves open.
+
+    rare holds counts of codes that the book lacks, by level and digest, for the field at hand.
+    """
 
     def __init__(self, bits: dict[tuple[int, str], float], totals: dict[int, float], kept: frozenset[str], memory: int = 1 << 16):
-        self.bits, self.kept, self.memory, self.known = bits, kept, memory, {}
+        self.bits, self.totals, self.kept, self.memory, self.known, self.rare = bits, totals, kept, memory, {}, {}
         self.unseen = [log2(totals.get(level, 1) + 2) for level in range(3)]
 
     def of(self, value: str) -> float:
@@ -211,6 +239,8 @@ class CodeBook:
             best = float("inf")
             for level, code in enumerate(names):
                 b = self.bits.get((level, code))
+                if b is None and self.rare and (n := self.rare.get((level, _digest(code)))):
+                    b = -log2(n / self.totals[level])
                 if b is None:
                     if not level:  # a value never seen has no code of its own
                         continue
@@ -233,7 +263,8 @@ def _choose(books: dict[str, tuple], kept: dict[str, frozenset[str]]):
         ready = {f: CodeBook(*books.get(f, ({}, {})), k) for f, k in kept.items()}
         for b in batches:
             dialect, values = [], []
-            for f, ds, ps in zip(b.column("field").to_pylist(), b.column("dialects").to_pylist(), b.column("parses").to_pylist()):
+            for f, ds, ps, rare in zip(*(b.column(c).to_pylist() for c in ("field", "dialects", "parses", "rare"))):
+                ready[f].rare = {(r["level"], r["digest"]): r["n"] for r in rare or ()}
                 at = min(range(len(ps)), key=lambda k: (round(ready[f].parse(ps[k]), 6), k)) if len(ps) > 1 else 0
                 dialect.append(ds[at])
                 values.append(ps[at])
@@ -248,9 +279,10 @@ def choose_dialects(df: DataFrame, row_id: str, fields: list[str], rounds: int =
     The code table counts each value and its two shapes, in the first round over all fields that read alike in
     every dialect, in the next over all fields as then chosen. A parse costs its dialect, its separators and for
     each value the cheapest of its three codes: -log2 of the code's share (a shape never seen: its characters)
-    and what the code leaves open. Counting is the only shuffle, combined in the tasks; the books that go to the
-    tasks hold codes with at least one in MOST_CODES of their level's values, of LONGEST_CODE characters at
-    most, so their size has a bound, and choosing is local to a field.
+    and what the code leaves open. Counting is combined in the tasks; the books that go to the tasks hold codes
+    with at least one in MOST_CODES of their level's values, of LONGEST_CODE characters at most, so their size
+    has a bound. They only save work: codes that they lack are joined from the counts to the fields whose
+    parses have them, so every code counts at every size.
     """
     stack = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
     rows = df.select(F.col(row_id).alias("id"), F.expr(f"stack({len(fields)}, {stack}) as (field, text)")).where("text IS NOT NULL")
@@ -270,13 +302,24 @@ def choose_dialects(df: DataFrame, row_id: str, fields: list[str], rounds: int =
         counted = stored(counted, "codes")
         totals = counted.groupBy("field", "level").agg(F.sum("n").alias("total"))  # three rows a field
         # a code that one value of an earlier choice has alone would only confirm that choice
-        common = counted.join(F.broadcast(totals), ["field", "level"]).where(f"code IS NOT NULL AND n > {int(turn > 0)} AND n >= total / {MOST_CODES}")
+        seen = counted.join(F.broadcast(totals), ["field", "level"]).where(f"n > {int(turn > 0)}")
+        in_book = f"length(code) <= {LONGEST_CODE} AND n >= total / {MOST_CODES}"
         books: dict[str, tuple] = {f: ({}, {}) for f in fields}
-        for r in common.collect():  # MOST_CODES for each level of a field at most
+        for r in seen.where(in_book).collect():  # MOST_CODES for each level of a field at most
             books[r.field][0][r.level, r.code] = -log2(r.n / r.total)
         for r in totals.collect():
             books[r.field][1][r.level] = r.total
-        chosen = parses.mapInArrow(_choose(books, frozen), f"id {id_type}, field string, dialect string, vals array<string>")
+        rare = seen.where(f"NOT ({in_book})").select("field", "level", F.unhex(F.md5("code")).alias("digest"), "n")
+        hits = "array<struct<level:int,digest:binary,n:bigint>>"
+        if rare.isEmpty():
+            priced = parses.withColumn("rare", F.lit(None).cast(hits))
+        else:
+            lacking = parses.where(F.size("parses") > 1).mapInArrow(_open_codes(books, frozen), f"id {id_type}, field string, level int, digest binary")
+            found = lacking.join(rare, ["field", "level", "digest"]).groupBy("id", "field").agg(F.collect_list(F.struct("level", "digest", "n")).cast(hits).alias("rare")).withColumnsRenamed({"id": "i", "field": "f"})  # of one field's own codes
+            alone = parses.where(F.size("parses") <= 1).withColumn("rare", F.lit(None).cast(hits))
+            several = parses.where(F.size("parses") > 1)
+            priced = alone.unionAll(several.join(found, several["id"].eqNullSafe(found["i"]) & (several["field"] == found["f"]), "left").drop("i", "f"))
+        chosen = priced.mapInArrow(_choose(books, frozen), f"id {id_type}, field string, dialect string, vals array<string>")
         read = chosen if turn == rounds - 1 else stored(chosen, "read")
     return read
 

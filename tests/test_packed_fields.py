@@ -58,3 +58,16 @@ def test_positions(spark):
     df = spark.createDataFrame([("a", "x;y;x", None)], "id string, tags string, extra string")
     rows = {(r.pos, r.val) for r in unpack_fields(df, "id", ["tags", "extra"]).collect()}
     assert rows == {(1, "x"), (2, "y"), (3, "x")}
+
+
+def test_codes_outside_the_book_count(spark, monkeypatch):
+    """A book that holds next to nothing changes no choice, nor does a value too long for it."""
+    from pricemill.operators import packed_fields
+
+    long = "glass " * 50 + ", hard"
+    rows = [(i, v) for i, v in enumerate(['["glass, hard"]'] * 30 + ['["red"]', '["blue"]', '["green"]'] * 10 + ["red;glass, hard", "red; blue,green", f'["{long}"]', f'["{long}"]', f"red;{long}"])]
+    df = spark.createDataFrame(rows, "id int, tags string")
+    whole = {r.id: r.vals for r in choose_dialects(df, "id", ["tags"]).collect()}
+    assert whole[60] == ["red", "glass, hard"] and whole[64] == ["red", long]
+    monkeypatch.setattr(packed_fields, "MOST_CODES", 1)
+    assert {r.id: r.vals for r in choose_dialects(df, "id", ["tags"]).collect()} == whole
