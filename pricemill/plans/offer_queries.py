@@ -229,7 +229,7 @@ top AS (SELECT * FROM ranked WHERE rank <= 8)
 
 
 def _pairs(spark, sf_dir):
-    return matching.similar_sets(store(spark, sf_dir), supply(spark, sf_dir), 0.3)
+    return matching.similar_sets(store(spark, sf_dir), supply(spark, sf_dir), 0.15)
 
 
 @query(_MATCH_SQL + "SELECT store_id, count(*) AS n_sets, round(max(CASE WHEN store_sku = sku THEN 0 ELSE similarity END), 6) AS best_other FROM good GROUP BY store_id")
@@ -242,7 +242,7 @@ def match_candidates(spark, sf_dir):
 
 
 def _top(spark, sf_dir):
-    return matching.top_matches(store(spark, sf_dir), supply(spark, sf_dir), 0.3)
+    return matching.top_matches(store(spark, sf_dir), supply(spark, sf_dir), 0.15)
 
 
 @query(_MATCH_SQL + "SELECT store_id, rank::INT AS rank, supplier, sku, price, round(similarity, 6) AS similarity FROM top")
