@@ -185,7 +185,7 @@ def tag_split(spark, sf_dir):
 @query("""
     SELECT product_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(tags, []), [lower(supplier), 'merged']))), '|') AS tags FROM product WHERE supplier IS NOT NULL""")
 def tag_merge(spark, sf_dir):
-    return table(spark, sf_dir, "product").where("supplier IS NOT NULL").select("product_id", F.array_join(T.merge_tags(F.col("tags"), F.array("supplier", F.lit(" Merged "))), "|").alias("tags"))
+    return table(spark, sf_dir, "product").select("product_id", F.array_join(T.merge_tags(F.col("tags"), F.array("supplier", F.lit(" Merged "))), "|").alias("tags"))
 
 
 @query("""
@@ -209,8 +209,7 @@ def price_labels(spark, sf_dir):
 @query(r"""SELECT product_id, trim(lower(name), e' \t\n\r   ') AS name FROM product WHERE NOT regexp_matches(name, '^[^\x21-\x7e\p{L}\p{N}\p{P}\p{S}]|[^\x21-\x7e\p{L}\p{N}\p{P}\p{S}]$')""")
 def synonym_normalize(spark, sf_dir):
     """Names without outer blanks, in the strict form: lower case only."""
-    rows = table(spark, sf_dir, "product").where(~F.col("name").rlike(r"^[^\x21-\x7e\p{L}\p{N}\p{P}\p{S}]|[^\x21-\x7e\p{L}\p{N}\p{P}\p{S}]$"))
-    return rows.select("product_id", T.normalise_synonyms("name", {"телефон": ["смартфон"]}, strict=True).alias("name"))
+    return table(spark, sf_dir, "product").select("product_id", T.normalise_synonyms("name", {"телефон": ["смартфон"]}, strict=True).alias("name"))
 
 
 # --- matching

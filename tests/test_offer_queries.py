@@ -13,3 +13,15 @@ def test_match_candidates_by_brute_force(spark, sf):
     offers = {(tuple(r.tokens), r.sku.lower()) for r in supply(spark, sf).select("tokens", "sku").collect()}
     want = Counter(s.store_id for s in store(spark, sf).select("store_id", "tokens").collect() for t, _ in offers if _similarity(s.tokens, t) >= 0.15)
     assert {r.store_id: r.n_sets for r in q.match_candidates(spark, sf).collect()} == dict(want)
+
+
+def _write(spark, path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_names_with_outer_blanks_and_null_suppliers(spark, tmp_path):
+    rows = [(1, "\u00a0Phone\t", None, ["b"]), (2, "X", "S", None)]
+    path = _write(spark, tmp_path, "product", rows, "product_id long, name string, supplier string, tags array<string>")
+    assert {tuple(r) for r in q.synonym_normalize(spark, path).collect()} == {(1, "phone"), (2, "x")}
+    assert {tuple(r) for r in q.tag_merge(spark, path).collect()} == {(1, "b|merged"), (2, "merged|s")}
