@@ -456,9 +456,11 @@ def import_skip(spark, sf_dir):
     WITH old AS (SELECT supplier, path, size, 'old' AS run FROM price_file WHERE size % 2 = 0), new AS (SELECT supplier, path, size + 1 AS size, 'new' AS run FROM price_file WHERE size % 3 = 0)
     SELECT supplier, path, size, run FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.supplier = old.supplier AND new.path = old.path) UNION ALL SELECT supplier, path, size, run FROM new""")
 def manifest_upsert(spark, sf_dir):
+    """The manifest of the earlier half, updated by the later one."""
     files = table(spark, sf_dir, "price_file")
-    old = files.where("size % 2 = 0").select("supplier", "path", "size", F.lit("old").alias("run"))
-    new = files.where("size % 3 = 0").select("supplier", "path", (F.col("size") + 1).alias("size"), F.lit("new").alias("run"))
+    half = files.agg(F.median("mtime")).scalar()
+    old = files.where(F.col("mtime") < half).select("supplier", "path", "size", F.lit("old").alias("run"))
+    new = files.where(~F.coalesce(F.col("mtime") < half, F.lit(False))).select("supplier", "path", (F.col("size") + 1).alias("size"), F.lit("new").alias("run"))
     return matching.upsert(old, new, ["supplier", "path"])
 
 

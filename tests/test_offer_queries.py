@@ -25,3 +25,9 @@ def test_names_with_outer_blanks_and_null_suppliers(spark, tmp_path):
     path = _write(spark, tmp_path, "product", rows, "product_id long, name string, supplier string, tags array<string>")
     assert {tuple(r) for r in q.synonym_normalize(spark, path).collect()} == {(1, "phone"), (2, "x")}
     assert {tuple(r) for r in q.tag_merge(spark, path).collect()} == {(1, "b|merged"), (2, "merged|s")}
+
+
+def test_every_file_is_on_one_side(spark, tmp_path):
+    rows = [("s", "a", 5, 1), ("s", "b", 7, 2), ("s", "a", 11, 3), ("s", "c", 13, 4)]
+    path = _write(spark, tmp_path, "price_file", rows, "supplier string, path string, size long, mtime long")
+    assert {tuple(r) for r in q.manifest_upsert(spark, path).collect()} == {("s", "b", 7, "old"), ("s", "a", 12, "new"), ("s", "c", 14, "new")}
