@@ -260,9 +260,8 @@ def match_board(spark, sf_dir):
     SELECT 'supplier::' || sha1(array_to_string(list_sort(b), ' '))[1:16] AS group_id, array_to_string(list_sort(b), ' ') AS tokens_text, count(*) AS n_offers, min(lower(name)) AS first_name
     FROM far GROUP BY list_sort(b) HAVING count(*) >= 2""")
 def supplier_only_groups(spark, sf_dir):
-    """Offers under skus that the store lacks, at a similarity that only equal token sets reach."""
-    rows = price_list(spark, sf_dir).withColumn("sku", F.concat(F.lit("X-"), F.col("sku")))
-    return matching.unmatched_groups(store(spark, sf_dir), matching.token_sets(rows, matching.default_tokens("name", "sku")), 1.0)
+    """Offers that no store product reaches by sku or similarity."""
+    return matching.unmatched_groups(store(spark, sf_dir), supply(spark, sf_dir))
 
 
 def _board_rows(spark, sf_dir):

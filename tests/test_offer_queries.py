@@ -1,5 +1,6 @@
 from collections import Counter
 
+from pricemill.operators import matching
 from pricemill.plans import offer_queries as q
 from pricemill.plans.domain import store, supply
 
@@ -31,3 +32,22 @@ def test_every_file_is_on_one_side(spark, tmp_path):
     rows = [("s", "a", 5, 1), ("s", "b", 7, 2), ("s", "a", 11, 3), ("s", "c", 13, 4)]
     path = _write(spark, tmp_path, "price_file", rows, "supplier string, path string, size long, mtime long")
     assert {tuple(r) for r in q.manifest_upsert(spark, path).collect()} == {("s", "b", 7, "old"), ("s", "a", 12, "new"), ("s", "c", 14, "new")}
+
+
+def test_supplier_only_groups_by_brute_force(spark, sf):
+    """Every offer of these tables has its sku in the store, so none is left over."""
+    skus = {s.sku.lower() for s in store(spark, sf).select("sku").collect()}
+    assert all(r.sku.lower() in skus for r in supply(spark, sf).select("sku").distinct().collect())
+    assert q.supplier_only_groups(spark, sf).count() == 0
+
+
+def test_leftovers_by_brute_force(spark):
+    goods = [(f"w{i % 7} w{i % 11} w{i % 13} t{i % 5}", f"s{i}") for i in range(30)]
+    lists = [(f"w{i % 7 + i % 3 * 5} w{i % 11 + 9} u{i % 4}", f"s{i + 28}") for i in range(40)] * 2
+    tokens = matching.default_tokens("name", "sku")
+    shop = matching.token_sets(spark.createDataFrame(goods, "name string, sku string"), tokens)
+    offers = matching.token_sets(spark.createDataFrame(lists, "name string, sku string"), tokens)
+    sets = [r.tokens for r in shop.collect()]
+    left = Counter(" ".join(r.tokens) for r in offers.collect() if r.sku not in {s for _, s in goods} and all(_similarity(r.tokens, s) < 0.15 for s in sets))
+    assert 0 < len(left) < 38
+    assert {r.tokens_text: r.n_offers for r in matching.unmatched_groups(shop, offers).collect()} == dict(left)
