@@ -51,3 +51,8 @@ def test_leftovers_by_brute_force(spark):
     left = Counter(" ".join(r.tokens) for r in offers.collect() if r.sku not in {s for _, s in goods} and all(_similarity(r.tokens, s) < 0.15 for s in sets))
     assert 0 < len(left) < 38
     assert {r.tokens_text: r.n_offers for r in matching.unmatched_groups(shop, offers).collect()} == dict(left)
+
+
+def test_templates_of_any_supplier(spark, tmp_path):
+    path = _write(spark, tmp_path, "import_template", [(1, ["a"], "\u00a0Торг\t"), (2, ["a", "b"], "X ")], "template_id long, headers array<string>, supplier string")
+    assert {tuple(r) for r in q.template_keys(spark, path).collect()} == {(1, 1, "торг"), (2, 2, "x")}
