@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_tokens, jaccard, stable_hash
+from ..session import stored
 
 
 def token_sets(df: DataFrame, tokens: Column) -> DataFrame:
@@ -14,49 +17,123 @@ def token_sets(df: DataFrame, tokens: Column) -> DataFrame:
     return out.withColumn("tokens_key", F.xxhash64("tokens"))
 
 
+#: A token is hot if more pairs of sets than this would meet in it; hot tokens are joined by classes of sets.
+HOT_PAIRS = 256
+
+
+class Reach(NamedTuple):
+    """Which token sets of two sides reach a similarity, without a row for each pair that only hot tokens join.
+
+    Sets of one size that hold the same hot tokens are one class, and all pairs of two classes share the same
+    hot tokens. near: (a_class, b_class, similarity) from hot tokens alone; pairs: (a_key, b_key, similarity)
+    of the sets that share a token that isn't hot, exact. A pair in both has the similarity of pairs.
+    """
+
+    a: DataFrame  # a_key, a_class
+    b: DataFrame  # b_key, b_class
+    near: DataFrame
+    pairs: DataFrame
+
+
+def reach(a: DataFrame, b: DataFrame, least: float) -> Reach:
+    """Token sets of a and b (tokens, tokens_key) that share a token and reach the similarity, least > 0.
+
+    Works on distinct sets, stored once. Tokens of one side only count in sizes. Other tokens meet by set
+    where at most HOT_PAIRS pairs do, which bounds that join by the number of tokens. Hot tokens meet by
+    class: to reach `least` a class of sets of size n must share ceil(least * n) of its hot tokens, so one of
+    all but that many of its rarest, and sizes differ by the factor `least` at most.
+    """
+    sets = {n: stored(x.select(F.col("tokens_key").alias("key"), "tokens").distinct(), f"sets_{n}") for n, x in (("a", a), ("b", b))}
+    tokens = {n: x.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")) for n, x in sets.items()}
+    freq = {n: x.groupBy("token").agg(F.count("*").alias(f"df_{n}")) for n, x in tokens.items()}
+    shared = freq["a"].join(freq["b"], "token").select("token", (F.col("df_a") * F.col("df_b")).alias("meet"))
+    shared = stored(shared.withColumn("hot", F.col("meet") > HOT_PAIRS), "shared_tokens")
+
+    members, classes, rare = {}, {}, {}
+    for n, x in tokens.items():
+        hot = x.join(shared.where("hot"), "token").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("meet", "token"))).alias("hot"))
+        members[n] = stored(hot.select("key", "n", F.col("hot.token").alias("hot"), F.xxhash64("n", "hot.token").alias("class")), f"classes_{n}")
+        classes[n] = members[n].select("class", "n", "hot").distinct()
+        rare[n] = x.join(shared.where("NOT hot").select("token"), "token").select(F.col("key").alias(f"{n}_key"), "token")
+
+    def prefix(n: str) -> DataFrame:
+        c = classes[n].withColumn("keep", F.size("hot") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1).where("keep > 0")
+        return c.select(F.col("class").alias(f"{n}_class"), F.col("n").alias(f"n_{n}"), F.col("hot").alias(f"hot_{n}"), F.explode(F.slice("hot", F.lit(1), F.col("keep"))).alias("token"))
+
+    same = F.size(F.array_intersect("hot_a", "hot_b"))
+    near = prefix("a").join(prefix("b"), "token").where((F.col("n_b") >= F.col("n_a") * least - 1e-9) & (F.col("n_a") >= F.col("n_b") * least - 1e-9))
+    near = near.dropDuplicates(["a_class", "b_class"]).select("a_class", "b_class", (same / (F.col("n_a") + F.col("n_b") - same)).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = rare["a"].join(rare["b"], "token").select("a_key", "b_key").distinct()
+    for n in ("a", "b"):
+        pairs = pairs.join(sets[n].select(F.col("key").alias(f"{n}_key"), F.col("tokens").alias(f"t_{n}")), f"{n}_key")
+    pairs = pairs.select("a_key", "b_key", jaccard(F.col("t_a"), F.col("t_b")).alias("similarity")).where(F.col("similarity") >= least)
+    sides = [members[n].select(F.col("key").alias(f"{n}_key"), F.col("class").alias(f"{n}_class")) for n in ("a", "b")]
+    return Reach(*sides, stored(near, "near"), stored(pairs, "pairs"))
+
+
 def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a_key, b_key, similarity): token sets of a and b that share a token and reach the similarity.
+    """(a_key, b_key, similarity): every pair of token sets that shares a token and reaches the similarity.
 
-    Works on distinct sets. Of each set only its rarest floor((1 - least) * size) + 1 tokens are joined: two
-    sets that reach `least` share one of those, so hot tokens drop out wherever the threshold allows, and
-    nothing is lost. Each pair is checked once, on whole sets.
+    The output has a row for each pair; the other operators work on classes of sets and never expand them.
     """
-    sets_a, sets_b = (x.select("tokens_key", "tokens").distinct() for x in (a, b))
-    each = sets_a.unionAll(sets_b).distinct().select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    r = reach(a, b, least)
+    by_class = r.near.join(r.a, "a_class").join(r.b, "b_class").select("a_key", "b_key", "similarity")
+    return by_class.join(r.pairs, ["a_key", "b_key"], "left_anti").unionAll(r.pairs)
+
 
-    def prefix(sets: DataFrame, name: str) -> DataFrame:
-        rows = sets.select("tokens_key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(each, "token")
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("tokens_key").orderBy("df", "token")))
-        return rows.where(F.col("rank") <= F.floor(F.col("n") * (1 - least)) + 1).select(F.col("tokens_key").alias(f"{name}_key"), "token")
+def match_counts(store: DataFrame, offers: DataFrame, least: float = 0.15) -> DataFrame:
+    """(store_id, n_sets, best_other): how many offer texts (distinct sku and token set) each store product
+    reaches, and the best similarity to a text that isn't of its own sku, 0 if there is none.
 
-    pairs = prefix(sets_a, "a").join(prefix(sets_b, "b"), "token").select("a_key", "b_key").distinct()
-    pairs = pairs.join(sets_a.select(F.col("tokens_key").alias("a_key"), F.col("tokens").alias("ta")), "a_key").join(sets_b.select(F.col("tokens_key").alias("b_key"), F.col("tokens").alias("tb")), "b_key")
-    return pairs.select("a_key", "b_key", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)
+    Counts and best similarities are taken from classes; only a product whose own texts fill its best class
+    looks at the further ones.
+    """
+    r = reach(store, offers, least)
+    texts = stored(offers.select(F.col("tokens_key").alias("b_key"), F.lower("sku").alias("k")).distinct().join(r.b, "b_key", "left"), "texts")
+    mine = stored(store.select("store_id", F.lower("sku").alias("own"), F.col("tokens_key").alias("a_key")).join(r.a, "a_key", "left"), "mine")
+    near = stored(r.near.join(texts.groupBy("b_class").agg(F.count("*").alias("w")), "b_class"), "near_counts")
+    total = near.groupBy("a_class").agg(F.sum("w").alias("n"), F.max_by(F.struct("similarity", "b_class", "w"), F.struct("similarity", "b_class")).alias("best"))
+    own = mine.join(texts, F.col("own") == F.col("k")).groupBy("store_id", "b_class").agg(F.count("*").alias("m"))
+
+    of_class = mine.join(total, "a_class").join(own.withColumnRenamed("b_class", "c"), ["store_id"], "left").groupBy("store_id", "a_class", "n", "best")
+    of_class = stored(of_class.agg(F.coalesce(F.max(F.when(F.col("c") == F.col("best.b_class"), F.col("m"))), F.lit(0)).alias("m")), "of_class")
+    filled = of_class.where("m >= best.w").select("store_id", "a_class").join(near, "a_class").join(own, ["store_id", "b_class"], "left")
+    others = filled.where("coalesce(m, 0) < w").select("store_id", F.lit(0).cast("long").alias("n"), "similarity")
+    first = of_class.select("store_id", "n", F.when(F.col("m") < F.col("best.w"), F.col("best.similarity")).otherwise(0.0).alias("similarity"))
+    by_pair = mine.join(r.pairs, "a_key").join(texts, "b_key").join(r.near.select("a_class", "b_class", F.lit(True).alias("known")), ["a_class", "b_class"], "left")
+    by_pair = by_pair.select("store_id", F.when(F.col("known"), 0).otherwise(1).cast("long").alias("n"), F.when(F.col("own") == F.col("k"), 0.0).otherwise(F.col("similarity")).alias("similarity"))
+    rows = first.unionAll(others).unionAll(by_pair).groupBy("store_id").agg(F.sum("n").alias("n_sets"), F.max("similarity").alias("best_other"))
+    return rows.where("n_sets > 0")
 
 
 def top_matches(store: DataFrame, offers: DataFrame, least: float = 0.15, most: int = 8) -> DataFrame:
     """(store_id, rank, supplier, sku, name, price, similarity): the best offers of each store product.
 
     store: store_id, sku, tokens, tokens_key; offers: supplier, sku, name, price, tokens, tokens_key. An equal
-    sku has similarity 1. All offers of one token set are alike to a store product but for price, so only the
-    `most` cheapest of a set (and of a sku) can be among the best: they are cut down before the join, and the
-    join's output is bounded by the pairs of sets.
+    sku has similarity 1. Offers of one class of sets are alike to a store product but for price, unless they
+    share a rarer token with it; so the `most` best of a class of store products over the cheapest `most` of
+    each class of offers, those that share a rarer token and those of an equal sku hold all best offers.
     """
     order = ("price", "supplier", "sku", "name")
 
-    def cheapest(key: Column) -> DataFrame:
+    def cheapest(rows: DataFrame, key: str) -> DataFrame:
         r = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        return offers.withColumn("r", r).where(F.col("r") <= most if most else F.lit(True)).drop("r")
-
-    pairs = similar_sets(store, offers, least)
-    by_set = store.join(pairs, store["tokens_key"] == pairs["a_key"]).select("store_id", F.lower("sku").alias("store_sku"), "b_key", "similarity")
-    alike = by_set.join(cheapest(F.col("tokens_key")).withColumnRenamed("tokens_key", "b_key"), "b_key").where(~F.coalesce(F.lower("sku") == F.col("store_sku"), F.lit(False)))
-    same = store.where("sku IS NOT NULL").select("store_id", F.lower("sku").alias("k")).join(cheapest(F.lower("sku")).withColumn("k", F.lower("sku")), "k").withColumn("similarity", F.lit(1.0))
-    cols = ["store_id", *order, "similarity"]
-    rows = alike.select(*cols).unionAll(same.select(*cols))
+        return rows.withColumn("r", r).where(F.col("r") <= most).drop("r")
+
+    r = reach(store, offers, least)
+    cols = ["store_id", "b_key", *order, "similarity"]
+    offered = stored(offers.select(*order, F.col("tokens_key").alias("b_key"), F.lower("sku").alias("k")).join(r.b, "b_key", "left"), "offered")
+    mine = store.select("store_id", F.lower("sku").alias("own"), F.col("tokens_key").alias("a_key"))
+    rank = F.row_number().over(Window.partitionBy("a_class").orderBy(F.desc("similarity"), *order))
+    by_class = r.near.join(cheapest(offered.where("b_class IS NOT NULL"), "b_class"), "b_class").withColumn("r", rank).where(F.col("r") <= most)
+    other = ~F.coalesce(F.col("k") == F.col("own"), F.lit(False))
+    rows = mine.join(r.a, "a_key").join(by_class, "a_class").where(other).select(*cols)
+    rows = rows.unionAll(mine.join(r.pairs, "a_key").join(cheapest(offered, "b_key"), "b_key").where(other).select(*cols))
+    same = mine.where("own IS NOT NULL").join(cheapest(offered.where("k IS NOT NULL"), "k"), F.col("own") == F.col("k")).withColumn("similarity", F.lit(1.0)).select(*cols)
+    # one partitioning serves both windows: an offer's greatest similarity, and its rank
+    rows = rows.unionAll(same).repartition("store_id").withColumn("g", F.max("similarity").over(Window.partitionBy("store_id", "b_key"))).where("similarity = g")
     rank = F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("similarity"), *order))
-    rows = rows.withColumn("rank", rank)
-    return rows.where(F.col("rank") <= most) if most else rows
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("store_id", *order, "similarity", "rank")
 
 
 def match_board(store: DataFrame, matches: DataFrame) -> DataFrame:
@@ -71,7 +148,8 @@ def unmatched_groups(store: DataFrame, offers: DataFrame, least: float = 0.15) -
     An offer is left over if neither its sku nor its token set reaches a store product; groups have two offers
     or more. Anti joins on keys, then one aggregate.
     """
-    reached = similar_sets(store, offers, least).select(F.col("b_key").alias("tokens_key")).distinct()
+    r = reach(store, offers, least)
+    reached = r.b.join(r.near.select("b_class"), "b_class", "left_semi").select(F.col("b_key").alias("tokens_key")).unionAll(r.pairs.select("b_key")).distinct()
     skus = store.where("sku IS NOT NULL").select(F.lower("sku").alias("k")).distinct()
     left = offers.withColumn("k", F.lower("sku")).join(reached, "tokens_key", "left_anti").join(skus, "k", "left_anti")
     key = F.when(F.size("tokens") > 0, F.array_join("tokens", " ")).otherwise(F.lower("name"))

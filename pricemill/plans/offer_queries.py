@@ -218,7 +218,7 @@ _MATCH_SQL = OFFERS_SQL + f"""
 , st AS (SELECT p_partkey AS store_id, 'SKU-' || p_partkey AS sku, p_name AS name, list_distinct(list_append(string_split(lower(p_name || ' SKU-' || p_partkey), ' '), lower(p_type))) AS a FROM part),
 sets AS (SELECT DISTINCT sku, list_distinct(string_split(lower(name || ' ' || sku), ' ')) AS b FROM price_list),
 pairs AS (SELECT store_id, st.sku AS store_sku, sets.sku, CASE WHEN st.sku = sets.sku THEN 1.0::DOUBLE ELSE {_JACCARD.format(a="a", b="b")} END AS similarity FROM st, sets WHERE st.sku = sets.sku OR list_has_any(a, b)),
-good AS (SELECT * FROM pairs WHERE similarity >= 0.3),
+good AS (SELECT * FROM pairs WHERE similarity >= 0.15),
 cheap AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY price, supplier) AS r FROM price_list),
 ranked AS (
     SELECT store_id, row_number() OVER (PARTITION BY store_id ORDER BY similarity DESC, price, supplier, o.sku, name) AS rank, supplier, o.sku, name, price, similarity
@@ -227,21 +227,15 @@ top AS (SELECT * FROM ranked WHERE rank <= 8)
 """
 
 
-def _pairs(spark, sf_dir):
-    return matching.similar_sets(store(spark, sf_dir), supply(spark, sf_dir), 0.15)
-
-
 @query(_MATCH_SQL + "SELECT store_id, count(*) AS n_sets, round(max(CASE WHEN store_sku = sku THEN 0 ELSE similarity END), 6) AS best_other FROM good GROUP BY store_id")
 def match_candidates(spark, sf_dir):
     """How many offer texts each store product reaches and the best that isn't its own sku."""
-    s, o = store(spark, sf_dir), supply(spark, sf_dir)
-    sets = o.select("tokens_key", F.lower("sku").alias("k")).distinct()
-    rows = s.join(_pairs(spark, sf_dir), s["tokens_key"] == F.col("a_key")).join(sets, F.col("b_key") == sets["tokens_key"]).select("store_id", F.lower("sku").alias("own"), "k", "similarity")
-    return rows.groupBy("store_id").agg(F.count("*").alias("n_sets"), F.round(F.max(F.when(F.col("own") == F.col("k"), 0.0).otherwise(F.col("similarity"))), 6).alias("best_other"))
+    counts = matching.match_counts(store(spark, sf_dir), supply(spark, sf_dir))
+    return counts.withColumn("best_other", F.round("best_other", 6))
 
 
 def _top(spark, sf_dir):
-    return matching.top_matches(store(spark, sf_dir), supply(spark, sf_dir), 0.15)
+    return matching.top_matches(store(spark, sf_dir), supply(spark, sf_dir))
 
 
 @query(_MATCH_SQL + "SELECT store_id, rank::INT AS rank, supplier, sku, price, round(similarity, 6) AS similarity FROM top")
