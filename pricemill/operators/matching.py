@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_tokens, jaccard, stable_hash
+from ..functions.text import blank_tokens, group_id, jaccard, match_id, stable_hash
 from ..session import stored
 
 
@@ -106,21 +106,21 @@ def match_counts(store: DataFrame, offers: DataFrame, least: float = 0.15) -> Da
     return rows.where("n_sets > 0")
 
 
-def top_matches(store: DataFrame, offers: DataFrame, least: float = 0.15, most: int = 8) -> DataFrame:
+def top_matches(store: DataFrame, offers: DataFrame, least: float = 0.15, most: int = 8, r: Reach | None = None) -> DataFrame:
     """(store_id, rank, supplier, sku, name, price, similarity): the best offers of each store product.
 
     store: store_id, sku, tokens, tokens_key; offers: supplier, sku, name, price, tokens, tokens_key. An equal
     sku has similarity 1. Offers of one class of sets are alike to a store product but for price, unless they
-    share a rarer token with it; so the `most` best of a class of store products over the cheapest `most` of
+    share a rarer token with it (r: their reach() at `least`, if it is known); so the `most` best of a class of store products over the cheapest `most` of
     each class of offers, those that share a rarer token and those of an equal sku hold all best offers.
     """
     order = ("price", "supplier", "sku", "name")
 
     def cheapest(rows: DataFrame, key: str) -> DataFrame:
-        r = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        return rows.withColumn("r", r).where(F.col("r") <= most).drop("r")
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        return rows.withColumn("r", place).where(F.col("r") <= most).drop("r")
 
-    r = reach(store, offers, least)
+    r = r or reach(store, offers, least)
     cols = ["store_id", "b_key", *order, "similarity"]
     offered = stored(offers.select(*order, F.col("tokens_key").alias("b_key"), F.lower("sku").alias("k")).join(r.b, "b_key", "left"), "offered")
     mine = store.select("store_id", F.lower("sku").alias("own"), F.col("tokens_key").alias("a_key"))
@@ -142,19 +142,25 @@ def match_board(store: DataFrame, matches: DataFrame) -> DataFrame:
     return store.select("store_id", "sku", "name", "price").join(m, "store_id", "left")
 
 
-def unmatched_groups(store: DataFrame, offers: DataFrame, least: float = 0.15) -> DataFrame:
-    """(group_id, tokens_text, n_offers, first_name): offers alike among themselves that no store product reaches.
+def leftovers(store: DataFrame, offers: DataFrame, least: float = 0.15, r: Reach | None = None) -> DataFrame:
+    """The offers that no store product reaches, with group_id and tokens_text, where two or more have equal tokens.
 
-    An offer is left over if neither its sku nor its token set reaches a store product; groups have two offers
-    or more. Anti joins on keys, then one aggregate.
+    An offer is left over if neither its sku nor its token set reaches a store product. Anti joins on keys; group
+    sizes are counted apart and joined back, so that a large group isn't gathered.
     """
-    r = reach(store, offers, least)
+    r = r or reach(store, offers, least)
     reached = r.b.join(r.near.select("b_class"), "b_class", "left_semi").select(F.col("b_key").alias("tokens_key")).unionAll(r.pairs.select("b_key")).distinct()
     skus = store.where("sku IS NOT NULL").select(F.lower("sku").alias("k")).distinct()
     left = offers.withColumn("k", F.lower("sku")).join(reached, "tokens_key", "left_anti").join(skus, "k", "left_anti")
     key = F.when(F.size("tokens") > 0, F.array_join("tokens", " ")).otherwise(F.lower("name"))
-    g = left.groupBy(key.alias("tokens_text")).agg(F.count("*").alias("n_offers"), F.min(F.lower("name")).alias("first_name")).where("n_offers >= 2")
-    return g.select(F.concat(F.lit("supplier::"), stable_hash(F.col("tokens_text"))).alias("group_id"), "tokens_text", "n_offers", "first_name")
+    left = stored(left.withColumn("tokens_text", key).drop("k"), "leftovers")
+    large = left.groupBy("tokens_text").agg(F.count("*").alias("n")).where("n >= 2").select("tokens_text")
+    return left.join(large, "tokens_text").withColumn("group_id", F.concat(F.lit("supplier::"), stable_hash(F.col("tokens_text"))))
+
+
+def unmatched_groups(store: DataFrame, offers: DataFrame, least: float = 0.15) -> DataFrame:
+    """(group_id, tokens_text, n_offers, first_name): groups of leftovers()."""
+    return leftovers(store, offers, least).groupBy("group_id", "tokens_text").agg(F.count("*").alias("n_offers"), F.min(F.lower("name")).alias("first_name"))
 
 
 def with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -174,9 +180,63 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def board_filters(similarity: Column, has_store: Column, status: Column) -> dict[str, Column]:
-    """The board's filters as named conditions."""
-    return {"all": F.lit(True), "has_matches": similarity.isNotNull() & has_store, "no_matches": similarity.isNull(), "supplier_only": ~has_store, "confirmed": F.coalesce(status == "confirmed", F.lit(False)), "pending": F.coalesce(status == "pending", F.lit(False)), "near": similarity.isNull() | (similarity >= 0.6)}
+BOARD = ["group_id", "group_type", "store_id", "store_sku", "store_name", "store_price", "store_tags", "match_id", "supplier", "sku", "name", "price", "similarity", "status"]
+
+
+def board_rows(store: DataFrame, offers: DataFrame, state: DataFrame, least: float = 0.15, most: int = 8, r: Reach | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """The board's rows (BOARD): a store product's matches with their state, or itself where nothing matches, and leftovers.
+
+    store: store_id, sku, name, price, tags, tokens, tokens_key. A row without match has match_id null,
+    similarity 0 and the status 'pending'; leftovers have no store product and the similarity 1. Removed
+    matches have no row. r and matches: reach() and top_matches() of the same sides, if they are known.
+    """
+    mine = store.select("store_id", group_id(F.col("sku"), F.col("name")).alias("group_id"), F.col("sku").alias("store_sku"), F.col("name").alias("store_name"), F.col("price").alias("store_price"), F.col("tags").alias("store_tags"))
+    match = match_id(F.col("supplier"), F.col("sku"), F.col("name")).alias("match_id")
+    r = r or reach(store, offers, least)
+    matches = matches if matches is not None else stored(top_matches(store, offers, least, most, r), "matches")
+    found = matches.join(mine, "store_id").select("*", match, F.lit("store").alias("group_type"))
+    none = mine.join(matches.select("store_id"), "store_id", "left_anti").withColumns({"group_type": F.lit("store"), "match_id": F.lit(None), "supplier": F.lit(None), "sku": F.lit(None), "name": F.lit(None), "price": F.lit(None).cast("double"), "similarity": F.lit(0.0), "status": F.lit("pending")})
+    rest = leftovers(store, offers, least, r).select("group_id", match, "supplier", "sku", "name", "price", F.lit("supplier-only").alias("group_type"), F.lit(1.0).alias("similarity"))
+    rows = with_state(found.drop("rank").unionByName(rest, allowMissingColumns=True), state)
+    return rows.select(*BOARD).unionByName(none.select(*BOARD))
+
+
+def board_filters(least: float = 0.6) -> dict[str, Column]:
+    """The board's filters as named conditions on its rows; `near` is that of the similarity slider."""
+    of_store, status = F.col("group_type") == "store", F.col("status")
+    matched = F.col("match_id").isNotNull()
+    return {"all": F.lit(True), "has_matches": of_store & matched, "no_matches": of_store & ~matched, "supplier_only": ~of_store, "confirmed": status == "confirmed", "pending": ~status.isin("confirmed", "removed"), "near": ~matched | (F.col("similarity") >= least)}
+
+
+def board_search(query: str) -> Column:
+    """Whether a text is in one of a row's fields: store sku, name or tags, supplier's sku, name or the supplier; an empty text is in all."""
+    q = query.strip().lower()
+    fields = ["store_sku", "store_name", "sku", "name", "supplier"]
+    texts = [*map(F.col, fields), F.array_join(F.array_sort("store_tags"), " ")]
+    return F.lit(True) if not q else F.greatest(*(F.coalesce(F.lower(t).contains(q), F.lit(False)) for t in texts))
+
+
+def display_class(low: float = 0.45) -> Column:
+    """How a row is shown: confirmed ones 'match-full', flagged or weak matches 'match-low', others 'match-none'."""
+    weak = F.col("match_id").isNotNull() & (F.col("similarity") < low)
+    return F.when(F.col("status") == "confirmed", "match-full").when((F.col("status") == "flagged") | weak, "match-low").otherwise("match-none")
+
+
+def sorted_groups(rows: DataFrame) -> DataFrame:
+    """(group_id, name, sku, price, supplier_name, supplier_price), in the board's order of groups.
+
+    The supplier's name is that of the best match, or in leftover groups of the first by name and price; a
+    missing price counts as infinite. Combinable aggregates, then a sort over all partitions.
+    """
+    of_store = F.col("group_type") == "store"
+    first = F.min(F.struct(F.when(of_store, -F.col("similarity")).otherwise(0.0).alias("s"), F.when(~of_store, F.lower("name")).alias("n"), "price", "supplier", F.lower("sku").alias("k"), F.lower("name").alias("name"))).alias("first")
+    g = rows.groupBy("group_id", "group_type", "store_id", "store_sku", "store_name", "store_price").agg(F.min(F.when(F.col("match_id").isNotNull(), F.col("price"))).alias("least"), first)
+    inf = F.lit(float("inf"))
+    out = g.select(
+        "group_id", F.coalesce(F.lower("store_name"), F.when(of_store, F.lit("")), "first.name", F.lit("")).alias("sort_name"), F.coalesce(F.lower("store_sku"), "first.k", F.lit("")).alias("sort_sku"),
+        F.when(of_store, F.coalesce("store_price", inf)).otherwise(inf).alias("sort_price"), F.coalesce("first.name", F.lower("store_name"), F.lit("")).alias("supplier_name"), F.coalesce("least", inf).alias("supplier_price"),
+    )
+    return out.orderBy("sort_name", "sort_sku", "sort_price", "supplier_name", "supplier_price")
 
 
 def default_tokens(name: Column | str, sku: Column | str, tags: Column | str | None = None) -> Column:

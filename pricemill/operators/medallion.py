@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,28 @@ def silver(bronze_rows: DataFrame) -> DataFrame:
 def gold(silver_rows: DataFrame) -> DataFrame:
     """Per product key (null is one): distinct skus and suppliers, average, least and greatest price.
 
-    One pass: partial aggregates by (key, sku) and (key, supplier) are combined map-side before the shuffle.
+    Rows are first aggregated by (key, sku, supplier), map-side before the shuffle, so that the distinct counts
+    expand those groups and not the rows, and a hot key is spread over its skus and suppliers.
     """
-    g = silver_rows.groupBy("pid_raw").agg(F.count_distinct("sku").alias("sku_count"), F.count_distinct("supplier").alias("supplier_count"), F.sum("price").alias("s"), F.count("price").alias("n"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    each = silver_rows.groupBy("pid_raw", "sku", "supplier").agg(F.sum("price").alias("s"), F.count("price").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi"))
+    g = each.groupBy("pid_raw").agg(F.count_distinct("sku").alias("sku_count"), F.count_distinct("supplier").alias("supplier_count"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"))
     return g.select("pid_raw", "sku_count", "supplier_count", (F.col("s").cast("double") / F.col("n")).alias("avg_price"), "min_price", "max_price")
 
 
-def write_bronze(rows: DataFrame, path: str, date: str) -> None:
-    """Append to bronze, by supplier and date; several files of a day stand side by side."""
-    rows.withColumn("date", F.lit(date)).write.mode("append").option("compression", "zstd").partitionBy("supplier", "date").parquet(path)
+def bronze_folder(path: str, supplier: str, date: str, file: str) -> str:
+    """Where one file's rows of a day lie; names are kept apart whatever their characters."""
+    name = lambda s: quote(s, safe="").replace(".", "%2E")
+    return f"{path}/supplier={name(supplier)}/date={date}/file={name(file)}"
+
+
+def write_bronze(rows: DataFrame, path: str, supplier: str, date: str, file: str) -> None:
+    """One file's rows, in place of those of the same supplier, day and file."""
+    rows.drop("supplier").write.mode("overwrite").option("compression", "zstd").parquet(bronze_folder(path, supplier, date, file))
 
 
 def read_bronze(spark, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop("date")
+    schema = "sku string, name string, brand string, price double, qty bigint, currency string, brand_norm string, name_clean string, supplier string, date string, file string"
+    return spark.read.schema(schema).option("basePath", path).parquet(path).drop("date", "file")
 
 
 def write_layer(rows: DataFrame, path: str) -> None:

@@ -5,9 +5,8 @@ from __future__ import annotations
 import copy
 import json
 import re
-from collections import Counter
 
-from .tagging import model_pattern
+from .model_matcher import model_pattern
 
 # The sheet's columns.
 SHEET = ["Категорія", "Теги категорії", "Бренд", "Теги бренду", "Модель", "Теги моделі", "Патерн"]
@@ -59,6 +58,15 @@ def load(text: str | None, default: dict | None = None) -> dict:
         return normalised(default or {})
 
 
+def names(data: dict, *path: str) -> list[str]:
+    """The categories, the brands of a category, or the models of a category's brand; none if the path isn't there."""
+    items = normalised(data)["categories"]
+    for step, name in zip(("brands", "models"), path):
+        here = _find(items, name)
+        items = here[step] if here else []
+    return [x["name"] for x in items]
+
+
 def _find(items: list[dict], name: str) -> dict | None:
     return next((x for x in items if x["name"].lower() == name.strip().lower()), None)
 
@@ -120,9 +128,13 @@ def from_sheet(headers: list[str], rows: list[list[str | None]]) -> dict:
     clean = [[str(v or "").strip() for v in (r + [None] * 7)[:7]] for r in rows]
     if bad := [i for i, r in enumerate(clean, 2) if any(r) and not (r[0] and r[2] and r[4])]:
         raise ValueError(f"rows without category, brand or model: {', '.join(map(str, bad))}")
+    places: dict[tuple, list[int]] = {}
+    for i, r in enumerate(clean, 2):
+        if any(r):
+            places.setdefault((r[0].lower(), r[2].lower(), r[4].lower()), []).append(i)
     clean = [r for r in clean if any(r)]
-    if twice := [k for k, n in Counter((r[0].lower(), r[2].lower(), r[4].lower()) for r in clean).items() if n > 1]:
-        raise ValueError("дублюється: " + "; ".join(" / ".join(k) for k in twice))
+    if twice := [f"{' / '.join(k)} (рядки {', '.join(map(str, at))})" for k, at in places.items() if len(at) > 1]:
+        raise ValueError("дублюється: " + "; ".join(twice))
     tree: dict = {}
     for cat, cat_tags, brand, brand_tags, model, tags, pattern in clean:
         c = tree.setdefault(cat.lower(), {"name": cat, "tags": split_tags(cat_tags), "brands": {}})
@@ -131,16 +143,19 @@ def from_sheet(headers: list[str], rows: list[list[str | None]]) -> dict:
     return normalised({"categories": [{**c, "brands": list(c["brands"].values())} for c in tree.values()]})
 
 
-_FORMULA = re.compile(r'REGEXMATCH\(\s*\{\{\s*name\s*\}\}\s*[,;]\s*"((?:[^"]|"")*)"\s*\)', re.I)
+_FORMULA = re.compile(r"""REGEXMATCH\s*\(\s*\{\{\s*name\s*\}\}\s*[,;]\s*("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')\s*\)""", re.I)
 
 
-def conditions_of(formula: str) -> list[str]:
-    """The patterns of a sheet formula =IF(AND(REGEXMATCH({{name}},"…"),…))."""
-    return [m.replace('""', '"') for m in _FORMULA.findall(formula or "")]
+def conditions_of(formula: str | None) -> list[str]:
+    """The patterns of a sheet formula =IF(AND(REGEXMATCH({{name}},"…"), …)), in either kind of quotes.
+
+    A backslash escapes a quote or a backslash; before any other character it stays. Empty patterns go.
+    """
+    return [c for m in _FORMULA.findall(formula or "") if (c := re.sub(r"""\\([\\"'])""", r"\1", m[1:-1]))]
 
 
 def formula_of(conditions: list[str]) -> str:
     if not conditions:
         return ""
-    checks = ",".join('REGEXMATCH({{name}},"' + c.replace('"', '""') + '")' for c in conditions)
-    return f"=IF(AND({checks}),TRUE,FALSE)"
+    quoted = ('"' + re.sub(r'([\\"])', r"\\\1", c) + '"' for c in conditions)
+    return "=IF(AND(" + ", ".join(f"REGEXMATCH({{{{name}}}},{q})" for q in quoted) + "))"

@@ -1,6 +1,6 @@
 """Queries of the core and their SQL."""
 
-from . import offer_queries, problems
+from . import board_queries, offer_queries, problems
 
-QUERIES = {**offer_queries.QUERIES, **problems.QUERIES}
-SQL = {**offer_queries.SQL, **problems.SQL}
+QUERIES = {**offer_queries.QUERIES, **board_queries.QUERIES, **problems.QUERIES}
+SQL = {**offer_queries.SQL, **board_queries.SQL, **problems.SQL}

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import channel, compare, matching, medallion, schema_drift, search, tagging
+from ..operators.model_matcher import match_models
+from ..operators.ranking import places
 from ..session import table
 from .domain import OFFERS_SQL, offers, price_list, searchable, store, supply
 
 QUERIES, SQL = {}, {}
 
 
+def _trim(x: str) -> str:
+    """SQL that trims white space of any kind."""
+    return rf"regexp_replace({x}, '^[\s\v\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]+|[\s\v\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]+$', '', 'g')"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -91,10 +97,11 @@ def cheapest_by_sku(spark, sf_dir):
     return compare.cheapest_by_sku(offers(spark, sf_dir))
 
 
-@query(OFFERS_SQL + "SELECT sku, supplier, price, row_number() OVER (PARTITION BY supplier ORDER BY sku, price)::INT AS place FROM price_list")
+@query(OFFERS_SQL + "SELECT sku, supplier, price, row_number() OVER (PARTITION BY supplier ORDER BY sku, price, name, description)::INT AS place FROM price_list")
 def sorted_products(spark, sf_dir):
     """Each supplier's list in the order of sku and price."""
-    return price_list(spark, sf_dir).select("sku", "supplier", "price", F.row_number().over(Window.partitionBy("supplier").orderBy("sku", "price")).alias("place"))
+    rows = price_list(spark, sf_dir).select("sku", "supplier", "price", "name", "description")
+    return places(rows, "supplier", [F.col(c) for c in ("sku", "price", "name", "description")]).drop("name", "description")
 
 
 @query(OFFERS_SQL + """
@@ -182,8 +189,8 @@ def tag_split(spark, sf_dir):
     return table(spark, sf_dir, "sample_raw").where("tags IS NOT NULL").select("id_internal", F.array_join(F.array_sort(T.split_tags("tags")), "|").alias("tags"))
 
 
-@query("""
-    SELECT product_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(tags, []), [lower(supplier), 'merged']))), '|') AS tags FROM product WHERE supplier IS NOT NULL""")
+@query(f"""
+    SELECT product_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(tags, []), [x FOR x IN [lower({_trim("supplier")}), 'merged'] IF x <> '']))), '|') AS tags FROM product""")
 def tag_merge(spark, sf_dir):
     return table(spark, sf_dir, "product").select("product_id", F.array_join(T.merge_tags(F.col("tags"), F.array("supplier", F.lit(" Merged "))), "|").alias("tags"))
 
@@ -206,12 +213,26 @@ def price_labels(spark, sf_dir):
     return price_list(spark, sf_dir).select("supplier", "sku", T.price_label("price").alias("label"))
 
 
-@query(r"""SELECT product_id, trim(lower(name), e' \t\n\r   ') AS name FROM product WHERE NOT regexp_matches(name, '^[^\x21-\x7e\p{L}\p{N}\p{P}\p{S}]|[^\x21-\x7e\p{L}\p{N}\p{P}\p{S}]$')""")
+@query(f"SELECT product_id, {_trim('lower(name)')} AS name FROM product")
 def synonym_normalize(spark, sf_dir):
     """Names without outer blanks, in the strict form: lower case only."""
     return table(spark, sf_dir, "product").select("product_id", T.normalise_synonyms("name", {"телефон": ["смартфон"]}, strict=True).alias("name"))
 
 
+def _whole_word(x: str, word: str, by: str) -> str:
+    """Twice, as two neighbours share the character between them."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){word}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1{by}\\2', 'g')"
+    return x
+
+
+@query(f"SELECT product_id, {_trim(_whole_word(_whole_word(_whole_word('lower(name)', 'смартфон', 'телефон'), 'smartphone', 'телефон'), 'power bank', 'павербанк'))} AS name FROM product")
+def synonym_replace(spark, sf_dir):
+    """Names with each variant of a word replaced by its canonical word."""
+    synonyms = {"телефон": ["смартфон", " Smartphone "], "павербанк": ["power bank"]}
+    return table(spark, sf_dir, "product").select("product_id", T.normalise_synonyms("name", synonyms).alias("name"))
+
+
 # --- matching
 
 _MATCH_SQL = OFFERS_SQL + f"""
@@ -248,16 +269,6 @@ def match_board(spark, sf_dir):
     return matching.match_board(store(spark, sf_dir), _top(spark, sf_dir)).select("store_id", "sku", "rank", "match_sku", "match_price")
 
 
-@query(OFFERS_SQL + """
-    , l AS (SELECT supplier, 'X-' || sku AS sku, name, price, list_distinct(string_split(lower(name || ' X-' || sku), ' ')) AS b FROM price_list),
-    far AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM part WHERE 'sku-' || p_partkey = lower(l.sku)))
-    SELECT 'supplier::' || sha1(array_to_string(list_sort(b), ' '))[1:16] AS group_id, array_to_string(list_sort(b), ' ') AS tokens_text, count(*) AS n_offers, min(lower(name)) AS first_name
-    FROM far GROUP BY list_sort(b) HAVING count(*) >= 2""")
-def supplier_only_groups(spark, sf_dir):
-    """Offers that no store product reaches by sku or similarity."""
-    return matching.unmatched_groups(store(spark, sf_dir), supply(spark, sf_dir))
-
-
 def _board_rows(spark, sf_dir):
     c = F.col
     return _top(spark, sf_dir).select("store_id", T.group_id(F.concat(F.lit("SKU-"), c("store_id")), F.lit(None).cast("string")).alias("group_id"), T.match_id(c("supplier"), c("sku"), c("name")).alias("match_id"), "rank", "price", F.round("similarity", 6).alias("similarity"))
@@ -290,25 +301,11 @@ def state_prune(spark, sf_dir):
     return matching.prune_state(_state(rows), rows).select("group_id", "match_id", "status")
 
 
-@query(_STATE_SQL + """SELECT 'all' AS filter, count(*) AS n FROM joined WHERE status <> 'removed' UNION ALL SELECT 'has_matches', count(*) FROM joined WHERE status <> 'removed'
-    UNION ALL SELECT 'no_matches', 0 UNION ALL SELECT 'supplier_only', 0 UNION ALL SELECT 'confirmed', count(*) FROM joined WHERE status = 'confirmed'
-    UNION ALL SELECT 'pending', count(*) FROM joined WHERE status = 'pending' UNION ALL SELECT 'near', count(*) FROM joined WHERE status <> 'removed' AND similarity >= 0.6""")
-def match_filters(spark, sf_dir):
-    """How many rows each filter of the board keeps."""
-    rows = _board_rows(spark, sf_dir)
-    rows = matching.with_state(rows, _state(rows))
-    named = matching.board_filters(F.col("similarity"), F.col("store_id").isNotNull(), F.col("status"))
-    kept = F.array_compact(F.array(*(F.when(c, n) for n, c in named.items())))
-    counts = rows.select(F.explode(kept).alias("filter")).groupBy("filter").agg(F.count("*").alias("n"))
-    names = spark.createDataFrame([(n,) for n in named], "filter string")
-    return names.join(counts, "filter", "left").select("filter", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query("""SELECT product_id, row_number() OVER (PARTITION BY supplier ORDER BY nullif(trim(currency), '') DESC NULLS LAST, price ASC NULLS LAST, product_id DESC)::INT AS place FROM product""")
 def row_sort(spark, sf_dir):
     """Rows of a supplier by currency descending and price, missing ones last either way."""
-    w = Window.partitionBy("supplier").orderBy(F.nullif(F.trim("currency"), F.lit("")).desc_nulls_last(), F.col("price").asc_nulls_last(), F.desc("product_id"))
-    return table(spark, sf_dir, "product").select("product_id", F.row_number().over(w).alias("place"))
+    rows = table(spark, sf_dir, "product").select("product_id", "supplier", "price", F.nullif(F.trim("currency"), F.lit("")).alias("currency"))
+    return places(rows, "supplier", [F.col("currency").desc_nulls_last(), F.col("price").asc_nulls_last(), F.col("product_id").desc()]).select("product_id", "place")
 
 
 # --- tags
@@ -357,11 +354,11 @@ def tag_classes(spark, sf_dir):
 
 
 def _hierarchy(spark, sf_dir):
-    """A three-level hierarchy out of part: type, brand, name."""
+    """A three-level hierarchy out of part, a row for each category: type, brand, name."""
     part = table(spark, sf_dir, "part").select("p_type", "p_brand", "p_name").distinct()
     models = part.groupBy("p_type", "p_brand").agg(F.array_sort(F.collect_list(F.struct(F.col("p_name").alias("name"), F.lit(None).cast("string").alias("pattern"), F.array().cast("array<string>").alias("tags")))).alias("models"))
     brands = models.groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct(F.col("p_brand").alias("name"), "models"))).alias("brands"))
-    return brands.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("name"), "brands"))).alias("categories"))
+    return brands.select(F.array(F.struct(F.col("p_type").alias("name"), "brands")).alias("categories"))
 
 
 @query(r"""SELECT DISTINCT p_type AS category, p_brand AS brand, p_name AS name, '(?<![A-Za-z0-9])' || array_to_string(string_split(regexp_replace(p_brand || ' ' || p_name, '([^A-Za-z0-9_ ])', '\\\1', 'g'), ' '), '[\W_]*') || '(?![A-Za-z0-9])' AS pattern,
@@ -380,10 +377,24 @@ def duplicate_models(spark, sf_dir):
 TEMPLATES = [{"brand": b, "name": n, "tags": [b, n]} for b, n in (("Hestrova", "Delvo 0"), ("Tarqon", "Kivra"), ("Mostravi", "Jolta"), ("Fenzoro", "Gravo"), ("Dramelo", "Estra 14 Pro"))]
 
 
-@query()
+def _model_sql(brand: str, name: str) -> str:
+    """Whether a name spells brand and model, or holds the model's words side by side, or (loosely) all words in order."""
+    spelt = r"[\W_]*".join(f"{brand} {name}".lower().split())
+    return rf"""regexp_matches(lower(name), '(^|[^a-z0-9]){spelt}($|[^a-z0-9])') OR contains(w, ' {name.lower()} ')"""
+
+
+_MODELS_SQL = ", ".join(f"CASE WHEN {_model_sql(t['brand'], t['name'])} THEN ['{t['brand']}', '{t['name']}'] ELSE [] END" for t in TEMPLATES)
+_LOOSE_SQL = " ".join(f"WHEN regexp_matches(w, ' {'( .*)? '.join((t['brand'] + ' ' + t['name']).lower().split())} ') THEN ['{t['brand']}', '{t['name']}']" for t in sorted(TEMPLATES, key=lambda t: (-len((t["brand"] + " " + t["name"]).split()), -len((t["brand"] + t["name"]).replace(" ", "")))))
+
+
+@query(rf"""
+    WITH x AS (SELECT product_id, name, ' ' || array_to_string(regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS w FROM product),
+    m AS (SELECT product_id, flatten([{_MODELS_SQL}]) AS sure, CASE {_LOOSE_SQL} ELSE [] END AS loose FROM x),
+    t AS (SELECT product_id, CASE WHEN len(sure) > 0 THEN sure ELSE loose END AS tags FROM m)
+    SELECT product_id, array_to_string(list_sort(list_distinct(tags)), '|') AS model_tags FROM t WHERE len(tags) > 0""")
 def model_match(spark, sf_dir):
     rows = table(spark, sf_dir, "product").select("product_id", "name")
-    return tagging.match_models(rows, "name", TEMPLATES).where(F.size("model_tags") > 0).select("product_id", F.array_join("model_tags", "|").alias("model_tags"))
+    return match_models(rows, "name", TEMPLATES).where(F.size("model_tags") > 0).select("product_id", F.array_join("model_tags", "|").alias("model_tags"))
 
 
 # --- channel export
@@ -446,8 +457,8 @@ def import_skip(spark, sf_dir):
 
 
 @query("""
-    WITH old AS (SELECT supplier, path, size, 'old' AS run FROM price_file WHERE size % 2 = 0), new AS (SELECT supplier, path, size + 1 AS size, 'new' AS run FROM price_file WHERE size % 3 = 0)
-    SELECT supplier, path, size, run FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.supplier = old.supplier AND new.path = old.path) UNION ALL SELECT supplier, path, size, run FROM new""")
+    WITH h AS (SELECT median(mtime) AS half FROM price_file), old AS (SELECT supplier, path, size FROM price_file, h WHERE mtime < half), new AS (SELECT supplier, path, size + 1 AS size FROM price_file, h WHERE NOT coalesce(mtime < half, false))
+    SELECT supplier, path, size, 'old' AS run FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.supplier = old.supplier AND new.path = old.path) UNION ALL SELECT supplier, path, size, 'new' FROM new""")
 def manifest_upsert(spark, sf_dir):
     """The manifest of the earlier half, updated by the later one."""
     files = table(spark, sf_dir, "price_file")
@@ -480,7 +491,7 @@ def extra_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type", F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT template_id, len(headers) AS n_headers, lower(trim(supplier)) AS supplier_key FROM import_template WHERE NOT regexp_matches(supplier, '[^\\x20-\\x7e]')""")
+@query(f"SELECT template_id, len(headers) AS n_headers, lower({_trim('supplier')}) AS supplier_key FROM import_template")
 def template_keys(spark, sf_dir):
     """Saved templates under the key of their supplier."""
     rows = table(spark, sf_dir, "import_template")

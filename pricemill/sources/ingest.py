@@ -3,37 +3,37 @@
 from __future__ import annotations
 
 import csv
-import io
 import os
-import re
-from collections.abc import Iterator
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, parse_price, split_tags, utrim
+from ..session import stored
 
 #: Fields of an offer that a file must have, and those it may have.
 REQUIRED, OPTIONAL = ("sku", "name", "price"), ("currency", "description", "tags")
 # Headers by which each field is known.
 ALIASES = {
-    "sku": ["sku", "артикул", "article", "code", "код", "код товару", "vendorcode", "id"],
-    "name": ["name", "назва", "product", "title", "найменування", "назва товару"],
-    "price": ["price", "ціна", "cost", "вартість"],
+    "sku": ["sku", "артикул", "article", "код товару", "код", "товарний код", "vendorcode"],
+    "name": ["name", "назва", "назва позиції", "найменування", "товар", "product"],
+    "price": ["price", "ціна", "вартість", "cost", "цена"],
     "currency": ["currency", "валюта", "currencyid"],
-    "description": ["description", "опис", "details"],
+    "description": ["description", "опис", "описання"],
     "tags": ["tags", "теги", "мітки"],
 }
+#: Headers of the bronze layer's further fields.
+BRONZE_ALIASES = {"brand": ["brand", "бренд", "виробник"], "qty": ["qty", "кількість", "залишок"]}
 #: Element names that stand for a record in XML, in order of preference.
 RECORD_TAGS = ("product", "offer", "item", "position", "record", "entry", "row")
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def resolve_headers(headers: list[str], overrides: dict[str, str] | None = None, aliases: dict[str, list[str]] = ALIASES) -> dict[str, str]:
+def resolve_headers(headers: list[str], overrides: dict[str, str] | None = None, aliases: dict[str, list[str]] = ALIASES, required: tuple[str, ...] = REQUIRED) -> dict[str, str]:
     """field -> header: overrides first, then aliases in alphabetical order, headers trimmed and in lower case.
 
-    Raises ValueError if sku, name or price has no header.
+    Raises ValueError if a required field has no header.
     """
     by_key: dict[str, str] = {}
     for h in headers:
@@ -42,15 +42,15 @@ def resolve_headers(headers: list[str], overrides: dict[str, str] | None = None,
     for field, names in aliases.items():
         if field not in out and (hit := next((by_key[a] for a in sorted(names) if a in by_key), None)):
             out[field] = hit
-    if missing := [f for f in REQUIRED if f not in out]:
+    if missing := [f for f in required if f not in out]:
         raise ValueError(f"no column for {', '.join(missing)}")
     return out
 
 
 def _head(spark: SparkSession, path: str, n: int = 4096) -> str:
-    """The first n characters of a file, read by the driver."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4 * n).alias("c")).limit(1).collect()
-    return (bytes(rows[0].c).decode("utf-8-sig", "replace") if rows else "")[:n]
+    """The first n characters of a file's first lines; Spark's readers stop there, whatever the file's size."""
+    rows = spark.read.text(path).select(F.substring("value", 1, n).alias("v")).limit(64).collect()
+    return "\n".join(r.v or "" for r in rows).removeprefix("\ufeff")[:n]
 
 
 def guess_delimiter(sample: str) -> str:
@@ -80,6 +80,19 @@ def to_offers(rows: DataFrame, supplier: str, overrides: dict[str, str] | None =
     return out.withColumn("bad_price", F.when(F.col("price").isNull(), F.col("__price"))).drop("__price")
 
 
+def to_raw(rows: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Rows of text columns under the bronze layer's names: sku, name, brand, price, qty, currency, as text.
+
+    Columns are found by name; one that the file lacks is null. A price that isn't a plain number is read as
+    price texts are ("1 234,50"), so that it isn't lost.
+    """
+    aliases = {**{f: ALIASES[f] for f in ("sku", "name", "price", "currency")}, **BRONZE_ALIASES}
+    mapping = resolve_headers(rows.columns, overrides, aliases, ())
+    c = lambda f: F.col(f"`{mapping[f]}`").cast("string") if f in mapping else F.lit(None).cast("string")
+    price = F.coalesce(c("price").try_cast("double"), parse_price(c("price")))
+    return rows.select(c("sku").alias("sku"), c("name").alias("name"), c("brand").alias("brand"), price.alias("price"), c("qty").try_cast("double").try_cast("bigint").alias("qty"), c("currency").alias("currency"))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text by header; quotes are doubled, records may span lines, a byte-order mark is skipped."""
     return spark.read.csv(path, header=True, sep=guess_delimiter(_head(spark, path)), multiLine=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8")
@@ -102,19 +115,25 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return both.groupBy("i").pivot("k", names).agg(F.first("v")).drop("i")
 
 
-def record_tag(sample: str) -> str:
-    """The element that stands for a record: the first known name found, else the first element that repeats."""
-    names = [re.sub(r"^.*:", "", t) for t in re.findall(r"<([A-Za-z_][\w.:-]*)", sample)]
-    low = {n.lower(): n for n in reversed(names)}
-    for t in RECORD_TAGS:
-        if t in low:
-            return low[t]
-    return next((n for i, n in enumerate(names) if n in names[:i]), names[1] if len(names) > 1 else names[0] if names else "row")
+def record_tag(spark: SparkSession, path: str) -> str:
+    """The element that stands for a record: the first known name found, else the first element that repeats.
+
+    All of the file's elements are counted where they lie; what comes back is a row for each name. The root
+    itself can't be a record if it holds other elements.
+    """
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.regexp_extract_all("value", F.lit(r"<([\p{L}_][^\s/>]*)"), F.lit(1))).alias("at", "tag"))
+    names = lines.select(F.regexp_replace("tag", "^.*:", "").alias("name"), F.struct("line", "at").alias("place")).groupBy("name").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    seen = names.orderBy("place").select("name", "n").collect()
+    low = {r.name.lower(): r.name for r in reversed(seen)}
+    if known := next((low[t] for t in RECORD_TAGS if t in low), None):
+        return known
+    inner = seen[1:] or seen
+    return next((r.name for r in inner if r.n > 1), inner[0].name if inner else "row")
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record element; nested values become text."""
-    tag = record_tag(_head(spark, path, 1 << 16))
+    tag = record_tag(spark, path)
     rows = spark.read.format("xml").options(rowTag=tag, attributePrefix="", valueTag="_text", ignoreNamespace="true", inferSchema="false").load(path)
     for f in rows.schema.fields:
         kind = f.dataType.typeName()
@@ -168,23 +187,11 @@ def load_batch(spark: SparkSession, jobs: list[tuple[str, str]]) -> tuple[DataFr
     """All offers of (supplier, path) jobs and the jobs that failed with their reasons; one bad file doesn't stop the others."""
     done, failed = [], []
     for supplier, path in jobs:
-        try:
-            done.append(load_offers(spark, path, supplier))
+        try:  # stored at once, so that a file that breaks while it is read fails here
+            done.append(stored(load_offers(spark, path, supplier), "batch"))
         except Exception as e:  # a file's own trouble, of any kind, is reported as such
             failed.append((supplier, path, str(e).splitlines()[0]))
     out = None
     for df in done:
         out = df if out is None else out.unionByName(df)
     return out, failed
-
-
-def merge_extra(extra: Column, keys: list[str]) -> list[Column]:
-    """The keys of an open map as columns."""
-    return [extra[k].alias(k) for k in keys]
-
-
-def sheet_text(rows: Iterator[list[str]]) -> str:
-    """Rows as CSV text, for previews."""
-    out = io.StringIO()
-    csv.writer(out).writerows(rows)
-    return out.getvalue()

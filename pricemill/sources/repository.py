@@ -73,8 +73,17 @@ def load_rules(text: str, default: dict[str, list[str]]) -> dict[str, list[str]]
     return rules or default
 
 
-def load_regex_rules(text: str) -> list[dict]:
-    """Regular-expression rules of a JSON text; those without name, tags or conditions go."""
+# The rules that hold where no file of rules is.
+DEFAULT_REGEX_RULES = [
+    {"name": "GETMAN Liquid Silk Camera", "conditions": ["(?i)Liquid Silk Full Camera", "(?i)GETMAN"], "tags": ["Soft Case", "Чохол", "Camera Protective"]},
+    {"name": "MagSafe chargers", "conditions": ["(?i)MagSafe", "(?i)charger"], "tags": ["Зарядка", "MagSafe"]},
+]
+
+
+def load_regex_rules(text: str | None) -> list[dict]:
+    """Regular-expression rules of a JSON text; those without name, tags or conditions go; None (no file) gives the default ones."""
+    if text is None:
+        return DEFAULT_REGEX_RULES
     rows = json.loads(text).get("rules", [])
     return [{"name": r["name"], "conditions": list(r["conditions"]), "tags": list(r["tags"])} for r in rows if isinstance(r, dict) and r.get("name") and r.get("tags") and r.get("conditions")]
 

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from pricemill.operators.model_matcher import Lexicon, model_pattern
 from pricemill.functions import text as T
 from pricemill.operators import channel, compare, matching, medallion, search, tagging
 from pricemill.sources import export, ingest, manifest
@@ -75,12 +76,12 @@ def test_search(spark):
     ],
 )
 def test_models(name, models, want, never):
-    got = set(tagging.model_tags(name, [tagging.Template(b, m, [b, m]) for b, m in models]))
+    got = set(Lexicon([{"brand": b, "name": m, "tags": [b, m]} for b, m in models]).of(name))
     assert want <= got and never not in got
 
 
 def test_model_pattern():
-    p = re.compile(tagging.model_pattern("Samsung", "Galaxy S23 FE"), re.I)
+    p = re.compile(model_pattern("Samsung", "Galaxy S23 FE"), re.I)
     assert p.search("Samsung GalaxyS23FE") and p.search("Samsung Galaxy-S23 FE") and not p.search("Samsung Galaxy S23 FEX")
 
 
@@ -150,7 +151,7 @@ def test_sources_round_trip(spark, tmp_path):
     r = ingest.load_offers(spark, str(js)).collect()
     assert [(x.sku, x.price, x.tags, x.extra) for x in r] == [("7", 5.0, ["x", "y"], {"w": "1"})]
     xml = tmp_path / "x.xml"
-    xml.write_text('<shop xmlns:a="u"><a:offer id="007"><name>n &amp; m</name><price>1,5</price><tags><tag>p</tag><tag>q</tag></tags><extra><w>1</w></extra></a:offer><a:offer id="8"><name>k</name><price>2</price></a:offer></shop>')
+    xml.write_text('<shop xmlns:a="u"><a:offer vendorCode="007"><name>n &amp; m</name><price>1,5</price><tags><tag>p</tag><tag>q</tag></tags><extra><w>1</w></extra></a:offer><a:offer vendorCode="8"><name>k</name><price>2</price></a:offer></shop>')
     got = {x.sku: x for x in ingest.load_offers(spark, str(xml)).collect()}
     assert got["007"].price == 1.5 and got["007"].tags == ["p", "q"] and got["007"].extra == {"w": "1"} and got["8"].name == "k"
     rows = ingest.load_offers(spark, str(js))
@@ -169,6 +170,8 @@ def test_headers():
     assert ingest.resolve_headers([" SKU", "Назва", "ціна", "x"], {"name": "X"}) == {"name": "x", "sku": " SKU", "price": "ціна"}
     with pytest.raises(ValueError):
         ingest.resolve_headers(["sku", "name"])
+    assert ingest.resolve_headers(["id", "code", "sku", "name", "price"])["sku"] == "sku"
+    assert ingest.resolve_headers(["Товарний код", "Товар", "Цена"]) == {"sku": "Товарний код", "name": "Товар", "price": "Цена"}
     assert ingest.guess_delimiter("a") == "," and ingest.guess_delimiter("a;b;c\n1;2;3\n") == ";"
 
 
@@ -196,7 +199,7 @@ def test_model_records(spark):
     data = json.dumps({"categories": [{"name": "C", "brands": [{"name": "B", "models": [{"name": "M 1"}, {"name": "N", "pattern": "n+", "tags": ["t"]}]}]}]})
     schema = "categories array<struct<name:string,brands:array<struct<name:string,models:array<struct<name:string,pattern:string,tags:array<string>>>>>>>"
     rows = tagging.model_records(spark.createDataFrame([(data,)], "j string").select(F.from_json("j", schema).alias("x")).select("x.*")).collect()
-    assert [(r.name, r.pattern, r.tags) for r in rows] == [("M 1", tagging.model_pattern("B", "M 1"), ["C", "B", "M 1"]), ("N", "n+", ["t"])]
+    assert [(r.name, r.pattern, r.tags) for r in rows] == [("M 1", model_pattern("B", "M 1"), ["C", "B", "M 1"]), ("N", "n+", ["t"])]
 
 
 def test_entry(spark):
