@@ -7,6 +7,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from math import log2
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ DIALECT_BITS, SEPARATOR_BITS, CHARACTER_BITS, DELIMITER_BITS, OPEN_BITS, LEVEL_B
 _URL = re.compile(r"https?://", re.I)
 _NEXT_URL = re.compile(r"[\s,;|/\"]*(?:https?://|$)", re.I)
 _OPEN, _CLOSE = "([{", ")]}"
+_INK = re.compile(r"\s*")
 
 
 def read_json(text: str) -> list[str] | None:
@@ -69,56 +71,66 @@ def _closing(text: str, at: int) -> tuple[int, str] | None:
     return None
 
 
+@cache
+def _stops(delimiters: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of the characters at which a value, and a URL, may end or change its state."""
+    marks = "".join(re.escape(d) for d in delimiters if d != " ")
+    blank = r"\s" if " " in delimiters else ""
+    return re.compile(rf"[{marks}{blank}()\[\]{{}}]"), re.compile(rf"[{marks}{blank}]" if marks or blank else r"(?!)")
+
+
 def split_field(text: str, delimiters: tuple[str, ...]) -> list[str]:
     """Values of a field in one dialect.
 
     What is in quotes is one value (doubled or escaped quotes are one); decimal commas, anything in brackets,
     slashes without blanks on both sides and punctuation inside a URL don't separate. Outer white space and
-    empty values go.
+    empty values go. Goes from mark to mark, not by character.
     """
     values: list[str] = []
-    start = i = depth = 0
-    n, url = len(text), False
-
-    def end(upto: int) -> None:
-        if s := text[start:upto].strip():
-            values.append(s)
-
-    while i < n:
-        c = text[i]
-        fresh = not text[start:i].strip()
-        if fresh and c in "\"'" and (hit := _closing(text, i)):
+    plain, in_url = _stops(delimiters)
+    n, at = len(text), 0
+    while at < n:
+        # at a value's start: blanks, then a quote, a URL or plain text
+        start = _INK.match(text, at).end()
+        if start == n:
+            break
+        c = text[start]
+        if c in "\"'" and (hit := _closing(text, start)):
             stop, content = hit
-            rest = text[stop:].lstrip()
-            gap = text[stop : n - len(rest)]
-            if not rest or rest[0] in delimiters or (gap and ("\n" in gap and "\n" in delimiters or "\t" in gap and "\t" in delimiters)) or (" " in delimiters and (rest[0] == '"' or _URL.match(rest))):
-                if s := content.strip():
-                    values.append(s)
-                i = n - len(rest)
-                if rest and rest[0] in delimiters:
-                    i += 1
-                start, url, depth = i, False, 0
+            after = _INK.match(text, stop).end()
+            gap, last = text[stop:after], text[after : after + 1]
+            if not last or last in delimiters or ("\n" in gap and "\n" in delimiters) or ("\t" in gap and "\t" in delimiters) or (" " in delimiters and (last == '"' or _URL.match(text, after))):
+                if content := content.strip():
+                    values.append(content)
+                at = after + (last != "" and last in delimiters)
                 continue
-        if fresh and not url and _URL.match(text, i):
-            url = True
-        if url:
-            if (c in delimiters or (c.isspace() and " " in delimiters)) and _NEXT_URL.match(text, i):
-                end(i)
-                start, url, depth = i + 1, False, 0
-        elif c in _OPEN and text.find(_CLOSE[_OPEN.index(c)], i) > 0:
-            depth += 1
-        elif c in _CLOSE and depth:
-            depth -= 1
-        elif not depth and c in delimiters and c != " ":
-            inside = (c == "," and i and i + 1 < n and text[i - 1].isdigit() and text[i + 1].isdigit()) or (c == "/" and not (i and i + 1 < n and text[i - 1].isspace() and text[i + 1].isspace()))
-            if not inside:
-                end(i)
-                start = i + 1
-        elif not depth and c.isspace() and " " in delimiters and not fresh and _URL.match(text, i + 1):
-            end(i)
-            start = i + 1
-        i += 1
-    end(n)
+        i, depth, end = start, 0, n
+        if _URL.match(text, start):
+            while m := in_url.search(text, i):
+                i = m.start()
+                if _NEXT_URL.match(text, i):
+                    end = i
+                    break
+                i += 1
+        else:
+            while m := plain.search(text, i):
+                i, c = m.start(), m[0]
+                if c in _OPEN:
+                    depth += text.find(_CLOSE[_OPEN.index(c)], i) > 0
+                elif c in _CLOSE:
+                    depth -= depth > 0
+                elif not depth and c in delimiters and c != " ":
+                    left, right = text[i - 1 : i], text[i + 1 : i + 2]
+                    if not (c == "," and left.isdigit() and right.isdigit()) and (c != "/" or (left.isspace() and right.isspace())):
+                        end = i
+                        break
+                elif not depth and c.isspace() and i > start and _URL.match(text, i + 1):
+                    end = i
+                    break
+                i += 1
+        if value := text[start:end].strip():
+            values.append(value)
+        at = end + 1
     return values
 
 
@@ -178,7 +190,11 @@ def _parses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(field, word, n), counted per batch before they leave the task."""
     for b in batches:
-        count = Counter((f, w) for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()) for v in vs for w in _LETTERS.findall(v.lower()))
+        values = Counter((f, v) for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()) for v in vs)
+        count: Counter = Counter()
+        for (f, v), n in values.items():
+            for w in _LETTERS.findall(v.lower()):
+                count[f, w] += n
         f, w = zip(*count) if count else ([],) * 2
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(w, pa.string()), pa.array(list(count.values()), pa.int64())], names=["field", "word", "n"])
 
@@ -188,11 +204,11 @@ def _code_rows(kept: dict[str, frozenset[str]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            values = Counter((f, v) for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()) for v in vs)
             count: Counter = Counter()
-            for f, vs in zip(b.column("field").to_pylist(), b.column("vals").to_pylist()):
-                for v in vs:
-                    for level, code in enumerate(codes(v, kept.get(f, frozenset()))[:3]):
-                        count[f, level, code] += 1
+            for (f, v), n in values.items():
+                for level, code in enumerate(codes(v, kept.get(f, frozenset()))[:3]):
+                    count[f, level, code] += n
             f, level, code = zip(*count) if count else ([],) * 3
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(level, pa.int32()), pa.array(code, pa.string()), pa.array(list(count.values()), pa.int64())], names=["field", "level", "code", "n"])
 
@@ -257,7 +273,7 @@ class CodeBook:
 
 
 def _choose(books: dict[str, tuple], kept: dict[str, frozenset[str]]):
-    """The cheapest parse of each field; ties go to the dialect named first."""
+    """The cheapest parse of each field that has several; ties go to the dialect named first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {f: CodeBook(*books.get(f, ({}, {})), k) for f, k in kept.items()}
@@ -265,7 +281,7 @@ def _choose(books: dict[str, tuple], kept: dict[str, frozenset[str]]):
             dialect, values = [], []
             for f, ds, ps, rare in zip(*(b.column(c).to_pylist() for c in ("field", "dialects", "parses", "rare"))):
                 ready[f].rare = {(r["level"], r["digest"]): r["n"] for r in rare or ()}
-                at = min(range(len(ps)), key=lambda k: (round(ready[f].parse(ps[k]), 6), k)) if len(ps) > 1 else 0
+                at = min(range(len(ps)), key=lambda k: (round(ready[f].parse(ps[k]), 6), k))
                 dialect.append(ds[at])
                 values.append(ps[at])
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("field"), pa.array(dialect, pa.string()), pa.array(values, pa.list_(pa.string()))], names=["id", "field", "dialect", "vals"])
@@ -288,7 +304,10 @@ def choose_dialects(df: DataFrame, row_id: str, fields: list[str], rounds: int =
     rows = df.select(F.col(row_id).alias("id"), F.expr(f"stack({len(fields)}, {stack}) as (field, text)")).where("text IS NOT NULL")
     id_type = rows.schema["id"].dataType.simpleString()
     parses = stored(rows.mapInArrow(_parses, f"id {id_type}, field string, dialects array<string>, parses array<array<string>>"), "parses")
-    read = parses.where(F.size("parses") == 1).select("field", F.col("parses")[0].alias("vals"))
+    several = parses.where(F.size("parses") > 1)
+    # a field with one parse needs no price and no Python
+    alone = parses.where(F.size("parses") <= 1).select("id", "field", F.col("dialects")[0].alias("dialect"), F.col("parses")[0].alias("vals"))
+    read = alone.select("field", "vals")
 
     words = stored(read.mapInArrow(_words, "field string, word string, n long").groupBy("field", "word").agg(F.sum("n").alias("n")), "words")
     least = words.groupBy("field").agg((F.sum("n") / KEPT_WORDS).alias("least"))  # a row a field
@@ -312,14 +331,13 @@ def choose_dialects(df: DataFrame, row_id: str, fields: list[str], rounds: int =
         rare = seen.where(f"NOT ({in_book})").select("field", "level", F.unhex(F.md5("code")).alias("digest"), "n")
         hits = "array<struct<level:int,digest:binary,n:bigint>>"
         if rare.isEmpty():
-            priced = parses.withColumn("rare", F.lit(None).cast(hits))
+            priced = several.withColumn("rare", F.lit(None).cast(hits))
         else:
-            lacking = parses.where(F.size("parses") > 1).mapInArrow(_open_codes(books, frozen), f"id {id_type}, field string, level int, digest binary")
+            lacking = several.mapInArrow(_open_codes(books, frozen), f"id {id_type}, field string, level int, digest binary")
             found = lacking.join(rare, ["field", "level", "digest"]).groupBy("id", "field").agg(F.collect_list(F.struct("level", "digest", "n")).cast(hits).alias("rare")).withColumnsRenamed({"id": "i", "field": "f"})  # of one field's own codes
-            alone = parses.where(F.size("parses") <= 1).withColumn("rare", F.lit(None).cast(hits))
-            several = parses.where(F.size("parses") > 1)
-            priced = alone.unionAll(several.join(found, several["id"].eqNullSafe(found["i"]) & (several["field"] == found["f"]), "left").drop("i", "f"))
+            priced = several.join(found, several["id"].eqNullSafe(found["i"]) & (several["field"] == found["f"]), "left").drop("i", "f")
         chosen = priced.mapInArrow(_choose(books, frozen), f"id {id_type}, field string, dialect string, vals array<string>")
+        chosen = alone.unionAll(chosen)
         read = chosen if turn == rounds - 1 else stored(chosen, "read")
     return read
 

@@ -1,5 +1,6 @@
 import pytest
 
+from pricemill.operators import packed_fields as pf
 from pricemill.operators.packed_fields import DIALECTS, candidates, choose_dialects, codes, read_json, split_field, unpack_fields
 
 MIXED = DIALECTS["mixed"]
@@ -71,3 +72,53 @@ def test_codes_outside_the_book_count(spark, monkeypatch):
     assert whole[60] == ["red", "glass, hard"] and whole[64] == ["red", long]
     monkeypatch.setattr(packed_fields, "MOST_CODES", 1)
     assert {r.id: r.vals for r in choose_dialects(df, "id", ["tags"]).collect()} == whole
+
+
+def _by_character(text, delimiters):
+    """A plainer statement of the same reading: character by character, with a value's state beside it."""
+    values, current, depth, url, i = [], "", 0, False, 0
+    while i < len(text):
+        c, rest = text[i], text[i:]
+        fresh = not current.strip()
+        if fresh and c in "\"'" and (hit := pf._closing(text, i)):
+            after = text[hit[0] :]
+            gap = after[: len(after) - len(after.lstrip())]
+            after = after.lstrip()
+            ends = not after or after[0] in delimiters or any(d in gap and d in delimiters for d in "\n\t") or (" " in delimiters and (after[0] == '"' or pf._URL.match(after)))
+            if ends:
+                values.append(hit[1])
+                current, url, depth = "", False, 0
+                i = len(text) - len(after) + (after[:1] in delimiters if after else 0)
+                continue
+        url = url or bool(fresh and pf._URL.match(rest))
+        cut = False
+        if url:
+            cut = (c in delimiters or (c.isspace() and " " in delimiters)) and bool(pf._NEXT_URL.match(rest))
+        elif c in "([{" and text.find(")]}"["([{".index(c)], i) > 0:
+            depth += 1
+        elif c in ")]}" and depth:
+            depth -= 1
+        elif not depth and c in delimiters and c != " ":
+            before, behind = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+            cut = not (c == "," and before.isdigit() and behind.isdigit()) and (c != "/" or (before.isspace() and behind.isspace()))
+        elif not depth and c.isspace() and " " in delimiters and not fresh:
+            cut = bool(pf._URL.match(text[i + 1 :]))
+        if cut:
+            values.append(current)
+            current, url = "", False
+            depth = 0
+        else:
+            current += c
+        i += 1
+    return [v.strip() for v in [*values, current] if v.strip()]
+
+
+def test_marks_against_characters():
+    import random
+
+    rnd = random.Random(3)
+    parts = ["a", "b1", "1", "2", ",", ",", ";", "|", "\t", "\n", "/", " ", " / ", '"', "'", '""', '\\"', "(", ")", "[", "]", "https://x.y/a,b;c", "HTTP://z", "й", "."]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        for d in pf.DIALECTS.values():
+            assert pf.split_field(text, d) == _by_character(text, d), (text, d)
