@@ -43,7 +43,16 @@ PROPERTIES = {"phone": ("ram", "gb", "colour"), "case": ("material", "colour", "
 #: The order in which a maker's part number lists properties after model and edition.
 PART_NUMBER = {"phone": ("ram", "gb", "colour"), "case": ("material", "colour"), "cable": ("m", "w", "colour"), "ssd": ("gb",), "coffee": ("g",), "monitor": ("inch", "hz", "colour"), "kettle": ("l", "w", "colour"), "powerbank": ("mah", "w", "colour")}
 
-_KIND = [(k, re.compile(rf"(?<![^\W\d_])(?:{p})")) for k, p in KINDS]
+#: What tells goods of other kinds apart.
+OTHER = ("mah", "gb", "w", "hz", "mm", "ml", "g", "inch", "colour", "material")
+
+
+def _of_kind(kind: str) -> tuple[str, ...]:
+    return PROPERTIES.get(kind, OTHER)
+
+
+_KIND = re.compile(r"(?<![^\W\d_])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in KINDS) + ")")
+_KIND_ORDER = {k: n for n, (k, _) in enumerate(KINDS)}
 _COLOUR = [(c, re.compile("|".join(rf"(?<![^\W_]){w}" + r"(?![^\W_])" * (w == "red") for w in p.split("|")[:-1]))) for c, p in COLOURS.items()]
 _MATERIAL = [(m, re.compile("|".join(rf"(?<![^\W_]){w}" for w in p.split("|") if w not in ("lea", "gla")))) for m, p in MATERIALS.items()]
 _NUMBER = re.compile(r"(?<![\w.,])(\d{1,3}(?:[ ,]000)+|\d+(?:[.,]\d+)?)[\s_\-\"'«»()\[\]/*]*(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![^\W_])")
@@ -57,6 +66,9 @@ _UNIT_NEXT = re.compile(r"[\s\-_\"'«»()\[\]/*]*(?:" + "|".join(sorted((re.esca
 _PART = re.compile(r"^\W*([a-z]{2}\d{4}[a-z]?|(?:[b-df-hj-np-tv-z][aeiou]){4})((?:-[a-z0-9.]+)+)\W*$")
 _BRAND = re.compile(r"(?<![^\W_])(?:бренд|brand) ([^\W\d_]+)")
 _WORD = re.compile(r"[^\W\d_]{4,}")
+#: Where a name's wording after the brand stops to name the model: other letters than Latin, a mark, a quantity.
+_NAMED = re.compile(r"(?:[\s-]*(?![\d.,]+ ?(?:" + "|".join(sorted((re.escape(u) for u in UNITS), key=len, reverse=True)) + r")(?![^\W_]))[a-z0-9][a-z0-9.+-]*(?<![.-]))+")
+_PLAIN_WORDS = frozenset("for with and in of the new original edition colour color ram".split())
 
 # Cyrillic letters in Latin, one for one.
 _ROMAN = str.maketrans({"а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "є": "ie", "ж": "zh", "з": "z", "и": "y", "і": "i", "ї": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ь": "", "ю": "iu", "я": "ia"})
@@ -104,25 +116,42 @@ def _distance(a: str, b: str, most: int) -> int:
     return row[-1] if row[-1] <= most else most + 1
 
 
+def _shortened(word: str, most: int = 2) -> set[str]:
+    """The word without any `most` letters or fewer: words within that many edits share one of these."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Brands:
     """Finds a known brand in a word, also in Cyrillic letters: the one nearest within two edits of its Latin form."""
 
     def __init__(self, names: list[str]):
-        self.names, self.seen = sorted(names), {}
+        self.names, self.seen, self.near = frozenset(names), {}, None
 
     def of(self, word: str) -> str | None:
-        if word in self.seen:
-            return self.seen[word]
-        if len(self.seen) > 1 << 17:
-            self.seen.clear()
-        hit = word if word in set(self.names) else None
-        if hit is None and not word.isascii():
-            latin = word.translate(_ROMAN)
-            near = sorted((_distance(latin, n, 2), n) for n in self.names)[:2]
-            if near and near[0][0] <= 2 and (len(near) == 1 or near[0][0] < near[1][0]):
-                hit = near[0][1]
-        self.seen[word] = hit
-        return hit
+        if word in self.names:
+            return word
+        if word.isascii():
+            return None
+        if word not in self.seen:
+            if len(self.seen) > 1 << 17:
+                self.seen.clear()
+            self.seen[word] = self._nearest(word.translate(_ROMAN))
+        return self.seen[word]
+
+    def _nearest(self, latin: str) -> str | None:
+        """The one nearest brand; none where two are equally near."""
+        if self.near is None:
+            self.near = {}
+            for n in self.names:
+                for w in _shortened(n):
+                    self.near.setdefault(w, []).append(n)
+        found = {n for w in _shortened(latin) for n in self.near.get(w, ())}
+        near = sorted((d, n) for n in found if (d := _distance(latin, n, 2)) <= 2)[:2]
+        return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0]) else None
 
 
 def _number(s: str) -> float:
@@ -165,20 +194,53 @@ def _from_part(kind: str, values: list[str]) -> dict[str, str]:
     return out
 
 
-def parse(sku: str | None, name: str | None, description: str | None, brands: Brands) -> dict[str, str]:
-    """kind, brand, model, edition and properties that a listing states; what it doesn't state is left out."""
+def kind_of(text: str) -> str | None:
+    """The kind of goods that a plain text names, the first of KINDS where it names several."""
+    return min((m.lastgroup for m in _KIND.finditer(text)), key=_KIND_ORDER.__getitem__, default=None)
+
+
+def named_model(name: str, brands: Brands) -> tuple[str, str] | None:
+    """(brand, model) of a plain name whose maker is followed by what it calls the article, such as "galaxy s23 ultra".
+
+    The wording ends before a quantity, a mark, a word in other letters, of a kind, colour or material, or a
+    plain word. The last such place counts, as goods made for others name those first.
+    """
+    for m in reversed(list(_WORD.finditer(name))):
+        brand = brands.of(m[0])
+        if brand and (rest := _NAMED.match(name, m.end())):
+            words = []
+            for w in re.findall(r"[a-z0-9.+]+", rest[0]):
+                if w in _PLAIN_WORDS or kind_of(w) or any(p.search(w) for _, p in (*_COLOUR, *_MATERIAL)):
+                    break
+                words.append(w)
+            if words:
+                return brand, "".join(words)
+    return None
+
+
+def parse(sku: str | None, name: str | None, description: str | None, brands: Brands, seen_brand: str | None = None) -> dict[str, str]:
+    """kind, brand, model, edition and properties that a listing states; what it doesn't state is left out.
+
+    kind is "other" where no known kind is named but a maker's model is. seen_brand: a rarer brand that the
+    listing is known to name. A model is what looks like a maker's code or coined name, else what follows the brand.
+    """
     sku, name, about = (sku or "").strip().lower(), plain(name), plain(description)
-    if not (_MODEL.search(name) and any(p.search(name) for _, p in _KIND)) and any(p.search(plain(sku)) for _, p in _KIND):
-        sku, name = name.strip(), plain(sku)
+    kind = kind_of(name)
+    if not (kind and _MODEL.search(name)) and (swapped := kind_of(plain(sku))):
+        sku, name, kind = name.strip(), plain(sku), swapped
     out: dict[str, str] = {}
     if number := trade_number(f"{name} {about}"):
         out["gtin"] = number
-    kind = next((k for k, p in _KIND if p.search(name)), None)
     part = _parts(sku)
-    if kind is None:
+    named = None
+    if not _MODEL.search(name) and not part and kind != "case":  # a case's wording names its phone first
+        known = brands if seen_brand is None else Brands([seen_brand])
+        named = named_model(name, known)
+    if kind is None and named is None:
         return out
+    kind = kind or "other"
     out["kind"] = kind
-    if part and part.get("edition") in ("2", "3") and len(part["values"]) + 1 == len(PART_NUMBER[kind]):
+    if part and kind in PART_NUMBER and part.get("edition") in ("2", "3") and len(part["values"]) + 1 == len(PART_NUMBER[kind]):
         part["values"].insert(0, part.pop("edition"))  # the first property, not an edition
     models: list[re.Match] = []
     for m in _MODEL.finditer(name):
@@ -192,6 +254,9 @@ def parse(sku: str | None, name: str | None, description: str | None, brands: Br
             out["edition"] = e[1]
         if kind == "case" and len(models) > 1:
             out["for"] = re.sub(r"[\s\-/_.]", "", models[0][0])
+    elif named:
+        out["brand"], out["model"] = named
+        out["coined"] = "true"  # taken from free wording, so it needs a second seller
     elif part and kind != "case":
         out["model"] = part["model"]
         if "edition" in part:
@@ -202,6 +267,8 @@ def parse(sku: str | None, name: str | None, description: str | None, brands: Br
         found = [b for w in _WORD.findall(name) if (b := brands.of(w))]
         if found and (kind != "case" or len(found) > 1):
             out["brand"] = found[-1]
+        elif seen_brand and kind != "case":
+            out["brand"] = seen_brand
     both = f"{name}\n{about}"
     if kind == "phone":
         for m in _RAM.finditer(both):
@@ -215,13 +282,13 @@ def parse(sku: str | None, name: str | None, description: str | None, brands: Br
         prop, factor = UNITS[m[2]]
         if prop == "mm" and kind == "monitor":
             prop, factor = "inch", factor / 25.4
-        if prop in PROPERTIES[kind] and prop not in out:
+        if prop in _of_kind(kind) and prop not in out:
             x = _number(m[1]) * factor
             out[prop] = _text(round(x) if prop in ("inch", "mm", "ml", "g", "w", "mah") else x)
     for key, table in (("colour", _COLOUR), ("material", _MATERIAL)):
-        if key in PROPERTIES[kind] and (hits := [(m.start(), c) for c, p in table if (m := p.search(both))]):
+        if key in _of_kind(kind) and (hits := [(m.start(), c) for c, p in table if (m := p.search(both))]):
             out[key] = min(hits)[1]
-    if part and part["model"] == out.get("model"):
+    if part and kind in PART_NUMBER and part["model"] == out.get("model"):
         for p, v in _from_part(kind, part["values"]).items():
             out.setdefault(p, v)
         if "edition" in part:
@@ -230,56 +297,97 @@ def parse(sku: str | None, name: str | None, description: str | None, brands: Br
 
 
 def article_key(a: dict[str, str]) -> str | None:
-    """The reliable key: kind, model, edition and every property of the kind; None while one is missing."""
-    if "model" not in a or "kind" not in a or any(p not in a for p in PROPERTIES[a["kind"]]):
+    """The reliable key: kind, model, edition and every property of the kind; None while one is missing.
+
+    Goods of other kinds have no list of properties; their keys come of what the model's listings state.
+    """
+    if "model" not in a or "kind" not in a or a["kind"] not in PROPERTIES or any(p not in a for p in _of_kind(a["kind"])):
         return None
-    return "|".join([a["kind"], a["model"], a.get("edition", ""), *(a[p] for p in PROPERTIES[a["kind"]])])
+    return "|".join([a["kind"], a["model"], a.get("edition", ""), *(a[p] for p in _of_kind(a["kind"]))])
 
 
 #: Words of sales talk at a name's end, which sellers add to a copied listing.
 _TALK = re.compile(r"(?:\W+(?:b-stock|new|новинка|акція|знижка|оригінал|original))+\W*$")
-#: A brand label must hold one of this many of all labels to be looked for in names: that bounds the lexicon.
+#: Brands that go to the tasks at most, the most frequent ones; listings meet the others in a join.
 MOST_BRANDS = 20_000
 
 
-def brand_names(products: DataFrame) -> list[str]:
-    """Latin brand names that descriptions label as such, seen three times or more; MOST_BRANDS at most."""
+def brand_labels(products: DataFrame) -> DataFrame:
+    """(b, n): Latin brand names that descriptions label as such, three times or more."""
     label = F.lower(F.regexp_extract("description", r"(?iu)(?:бренд|brand)\s*:\s*([a-z]{3,})", 1))
-    seen = products.select(label.alias("b")).where("b <> ''").groupBy("b").agg(F.count("*").alias("n"))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    return [r.b for r in seen.where(F.col("n") >= max(3, total / MOST_BRANDS)).collect()]
+    return products.select(label.alias("b")).where("b <> ''").groupBy("b").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+def rare_brands(products: DataFrame, labels: DataFrame, book: list[str]) -> DataFrame:
+    """(product_id, seen): the last brand beyond the book that a name holds, in Latin letters."""
+    rest = labels.join(products.sparkSession.createDataFrame([(b,) for b in book], "b string"), "b", "left_anti")
+    words = products.select("product_id", F.posexplode(F.regexp_extract_all(F.lower(F.coalesce("name", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))).alias("at", "b"))
+    return words.join(rest, "b").groupBy("product_id").agg(F.max_by("b", "at").alias("seen"))
 
 
 def parse_listings(products: DataFrame) -> DataFrame:
-    """(product_id, supplier, key, brand, gtin, part, copy_key, name_key, stated): what identifies each listing.
+    """(product_id, supplier, key, brand, gtin, part, copy_key, name_key, stated, coined): what identifies each listing.
 
     key is article_key(); part is a maker's part number given as the sku; copy_key is sku and name, name_key
     supplier and name, by letters and digits only and without sales talk at the name's end; stated holds
-    "property=value" of all that tells articles apart, for a listing with a key also that it has no edition.
+    "property=value" of all that tells articles apart, for a listing with a key also that it has no edition;
+    coined tells whether the model is what follows the brand in free wording.
     """
-    names = brand_names(products)
+    labels = stored(brand_labels(products), "brands")
+    book = [r.b for r in labels.orderBy(F.desc("n"), "b").limit(MOST_BRANDS).collect()]
     rows = products.select(F.col("product_id").cast("long").alias("product_id"), F.col("supplier").cast("string").alias("supplier"), F.col("sku").cast("string").alias("sku"), F.col("name").cast("string").alias("name"), F.col("description").cast("string").alias("description"), order_free(bare("sku"), bare("name")).alias("copy_key"))
+    if len(book) < MOST_BRANDS:
+        rows = rows.withColumn("seen", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(rare_brands(rows, labels, book), "product_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        brands = Brands(names)
-        out_names = ["product_id", "supplier", "key", "brand", "gtin", "part", "copy_key", "name_key", "stated"]
+        brands = Brands(book)
+        out_names = ["product_id", "supplier", "key", "brand", "gtin", "part", "copy_key", "name_key", "stated", "coined"]
         for b in batches:
             out = []
-            for sku, name, about, supplier in zip(*(b.column(c).to_pylist() for c in ("sku", "name", "description", "supplier"))):
-                a = parse(sku, name, about, brands)
-                text = (sku if "kind" in a and not any(p.search(plain(name)) for _, p in _KIND) else name) or ""
+            for sku, name, about, supplier, seen in zip(*(b.column(c).to_pylist() for c in ("sku", "name", "description", "supplier", "seen"))):
+                a = parse(sku, name, about, brands, seen)
+                text = (sku if a.get("kind", "other") != "other" and kind_of(plain(name)) is None else name) or ""
                 only = re.sub(r"[\W_]+", "", _TALK.sub("", text.lower()))
                 part = (sku or "").strip().lower()
                 key = article_key(a)
-                told = {p: v for p, v in a.items() if p not in ("brand", "gtin")} | ({"edition": a.get("edition", "")} if key else {})
+                told = {p: v for p, v in a.items() if p not in ("brand", "gtin", "coined")} | ({"edition": a.get("edition", "")} if key else {})
                 if a.get("kind") == "case" and "for" not in a:  # the only model may be the phone's
                     told = {p: v for p, v in told.items() if p not in ("model", "edition")}
-                out.append((key, a.get("brand"), a.get("gtin"), part if _PART.match(part) else None, f"{supplier}|{only}" if only else None, [f"{p}={v}" for p, v in told.items()]))
-            key, brand, gtin, part, name_key, told = zip(*out) if out else ([],) * 6
+                out.append((key, a.get("brand"), a.get("gtin"), part if _PART.match(part) else None, f"{supplier}|{only}" if only else None, [f"{p}={v}" for p, v in told.items()], "coined" in a))
+            key, brand, gtin, part, name_key, told, coined = zip(*out) if out else ([],) * 7
             text = lambda v: pa.array(v, pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("product_id"), b.column("supplier"), text(key), text(brand), text(gtin), text(part), b.column("copy_key"), text(name_key), pa.array(told, pa.list_(pa.string()))], names=out_names)
+            yield pa.RecordBatch.from_arrays([b.column("product_id"), b.column("supplier"), text(key), text(brand), text(gtin), text(part), b.column("copy_key"), text(name_key), pa.array(told, pa.list_(pa.string())), pa.array(coined, pa.bool_())], names=out_names)
 
-    return rows.mapInArrow(run, "product_id long, supplier string, key string, brand string, gtin string, part string, copy_key string, name_key string, stated array<string>")
+    return rows.mapInArrow(run, "product_id long, supplier string, key string, brand string, gtin string, part string, copy_key string, name_key string, stated array<string>, coined boolean")
+
+
+def with_model_keys(listings: DataFrame) -> DataFrame:
+    """listings, with keys also for models of which no listing states every property of its kind.
+
+    A model that comes from free wording counts if two sellers or more give it so: run-together or chance wording
+    is one seller's. A property that no listing of such a model states isn't one of it: there a listing's key is kind, model,
+    edition and all that the model's listings state. Listings that leave one of those out keep no key, nor do
+    those of a key with two trade numbers.
+    """
+    name = lambda t: F.substring_index(t, "=", 1)
+    both = F.array_sort(F.filter("stated", lambda t: name(t).isin("kind", "model")))
+    coined = listings.where("coined").select("product_id", "supplier", F.concat_ws("|", both).alias("m"))
+    shared = coined.groupBy("m").agg(F.min("supplier").alias("lo"), F.max("supplier").alias("hi")).where("lo < hi").select("m")
+    lone = coined.join(shared, "m", "left_anti").select("product_id", F.lit(True).alias("lone"))
+    own = F.filter("stated", lambda t: ~name(t).isin("model", "edition") & (t != "kind=other"))
+    listings = stored(listings.join(lone, "product_id", "left").withColumn("stated", F.when(F.col("lone"), own).otherwise(F.col("stated"))).withColumn("key", F.when(F.col("lone").isNull(), F.col("key"))).drop("lone", "coined"), "models")
+    rows = listings.withColumn("m", F.when(F.size(both) == 2, F.array_join(both, "|")))
+    whole = rows.where("key IS NOT NULL AND m IS NOT NULL").select("m").distinct()
+    open_ = rows.where("key IS NULL AND m IS NOT NULL").join(whole, "m", "left_anti").select("product_id", "m", "stated")
+    needed = open_.select("m", F.explode("stated").alias("t")).select("m", name("t").alias("p")).where("p <> 'edition'").distinct().groupBy("m").agg(F.count("*").alias("n"))
+    found = open_.join(needed, "m").where(F.size(F.filter("stated", lambda t: name(t) != "edition")) == F.col("n"))
+    keys = found.select("product_id", F.array_sort(F.when(F.exists("stated", lambda t: name(t) == "edition"), F.col("stated")).otherwise(F.concat("stated", F.array(F.lit("edition="))))).alias("own"))
+    keys = stored(keys.withColumn("k", F.concat(F.lit("model|"), F.array_join("own", "|"))), "model_keys")
+    numbers = listings.where("gtin IS NOT NULL").join(keys, "product_id").groupBy("k").agg(F.min("gtin").alias("lo"), F.max("gtin").alias("hi")).where("lo < hi").select("k")
+    rows = listings.join(keys.join(numbers, "k", "left_anti"), "product_id", "left").withColumn("key", F.coalesce("key", "k")).drop("k")
+    return rows.withColumn("stated", F.coalesce("own", "stated")).drop("own")
 
 
 #: Identifiers from the most to the least reliable.
@@ -374,7 +482,7 @@ def article_components(products: DataFrame) -> DataFrame:
     several, it is split by brand and listings without one stay out. Listings that join nothing have no row.
     Every step is an aggregate or an equi-join on those keys. Null and empty fields state nothing.
     """
-    listings = stored(parse_listings(products), "listings")
+    listings = stored(with_model_keys(stored(parse_listings(products), "parsed")), "listings")
     joined = _reach(listings)
     rows = listings.drop("key").join(joined, "product_id").select("product_id", "supplier", "key", "brand")
     brands = rows.groupBy("key").agg(F.min("brand").alias("lo"), F.max("brand").alias("hi"))
@@ -384,11 +492,16 @@ def article_components(products: DataFrame) -> DataFrame:
 
 
 def same_article_pairs(products: DataFrame) -> DataFrame:
-    """(product_id_a, product_id_b), a < b: listings of one article by different, known suppliers."""
+    """(product_id_a, product_id_b), a < b: listings of one article by different, known suppliers.
+
+    Pairs of sellers meet first, so that a seller's many listings of one article are not compared with each other.
+    """
     rows = stored(article_components(products).where("supplier IS NOT NULL"), "components")
-    a = rows.select("component", F.col("product_id").alias("product_id_a"), F.col("supplier").alias("sa"))
-    b = rows.select("component", F.col("product_id").alias("product_id_b"), F.col("supplier").alias("sb"))
-    return a.join(b, "component").where("product_id_a < product_id_b AND sa <> sb").select("product_id_a", "product_id_b")
+    sellers = rows.select("component", "supplier").distinct()
+    two = sellers.withColumnRenamed("supplier", "sa").join(sellers.withColumnRenamed("supplier", "sb"), "component").where("sa < sb")
+    a, b = (rows.select("component", F.col("supplier").alias(f"s{n}"), F.col("product_id").alias(n)) for n in "ab")
+    pairs = two.join(a, ["component", "sa"]).join(b, ["component", "sb"])
+    return pairs.select(F.least("a", "b").alias("product_id_a"), F.greatest("a", "b").alias("product_id_b"))
 
 
 def article_groups(products: DataFrame) -> DataFrame:

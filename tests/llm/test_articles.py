@@ -1,5 +1,6 @@
 import pytest
 
+from pricemill.llm import articles
 from pricemill.llm.articles import Brands, article_components, article_key, article_groups, parse, plain, same_article_pairs, trade_number, valid_gtin
 
 BRANDS = Brands(["wexlario", "jorvello", "prandexo", "quentavi"])
@@ -112,3 +113,36 @@ def test_part_number_without_edition():
     """KEKANIGO-3-60-RED is 3 m long, not the third edition."""
     assert key("cable kekanigo", None, "KEKANIGO-3-60-RED") == key("Cable Kekanigo 3 m 60 W red") == "cable|kekanigo||3000|60|red"
     assert key("cable kekanigo", None, "KEKANIGO-3-2-60-RED") == "cable|kekanigo|3|2000|60|red"
+
+
+def test_real_wording(spark):
+    """Models that are neither codes nor coined names: what follows the brand, if two sellers name it so."""
+    brand = "Brand: {}."
+    rows = [
+        (1, "1", "Samsung 990 PRO SSD 1TB", brand.format("Samsung"), "a"), (2, "x", "Накопичувач SSD Samsung 990 Pro, 1024 ГБ", None, "b"), (3, "y", "SSD Samsung 990 Pro 2TB", brand.format("Samsung"), "c"),
+        (4, "1", "Apple iPhone 15 Pro 128GB Black smartphone", brand.format("Apple"), "a"), (5, "2", "Смартфон Apple iPhone 15 Pro, чорний, 128 ГБ", None, "b"), (6, "3", "Apple iPhone 15 128GB black phone", brand.format("Apple"), "c"),
+        (7, "4", "Sony WH-1000XM5, black", brand.format("Sony"), "a"), (8, "5", "Навушники Sony WH-1000XM5 чорний колір", None, "b"), (9, "6", "Sony WH-1000XM5 blue", brand.format("Sony"), "c"),
+        *((20 + i, f"z{i}", f"Thing {i}", brand.format(b), "d") for i, b in enumerate(["Samsung", "Samsung", "Apple", "Apple", "Sony", "Sony"])),
+    ]
+    assert _pairs(spark, rows) == {(1, 2), (4, 5), (7, 8)}
+
+
+def test_equal_trade_numbers_join_whatever_the_wording(spark):
+    a, b = "EAN: 4006381333931", "штрихкод 4006381333931"
+    rows = [(1, "1", "Thing in a box", a, "a"), (2, "2", "Zovsim insha nazva", b, "b"), (3, "3", "Third", "EAN: 96385074", "c")]
+    assert _pairs(spark, rows) == {(1, 2)}
+
+
+def test_brands_beyond_the_book(spark, monkeypatch):
+    """The book's size changes no result where brands are written in Latin letters."""
+    rows = [(i, f"s{i}", f"SSD {b} 990 Pro 1TB", f"Brand: {b}" if i % 2 else None, f"shop{i}") for i, b in enumerate(["wexlario", "jorvello", "prandexo"] * 6)]
+    want = _pairs(spark, rows)
+    assert len(want) == 3 * 15
+    monkeypatch.setattr(articles, "MOST_BRANDS", 1)
+    assert _pairs(spark, rows) == want
+
+
+def test_many_listings_of_one_seller(spark):
+    """A seller's listings of one article meet other sellers' only."""
+    rows = [(i, f"a{i}", "SSD Wexlario AB-1234 1 TB", None, "big") for i in range(300)] + [(900, "b", "SSD AB-1234 1024 GB", None, "small"), (5000, "c", "SSD AB-1234 1024 GB", None, None)]
+    assert _pairs(spark, rows) == {(i, 900) for i in range(300)}
