@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows sorted at once when a run is formed; it bounds a Python worker's memory, not the result.
 RUN_ROWS = 1 << 18
-#: Rows, about, that a merge holds as Python values at a time.
-BLOCK_ROWS = 1 << 17
+#: Rows that a merge holds at a time, about: whole groups, or the part of a large group that came since its last merge.
+BLOCK_ROWS = 1 << 16
 
 _KEYS = [("g", "ascending"), ("s1", "ascending"), ("s2", "ascending"), ("id", "ascending")]
 
@@ -111,30 +111,48 @@ def _form_runs(n: int):
     return run
 
 
+def _starts(g: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Where each group begins in a column that holds groups one after the other."""
+    g = g.combine_chunks() if isinstance(g, pa.ChunkedArray) else g
+    new = np.ones(len(g), bool)
+    new[1:] = pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def _merge_bucket(n: int):
+    def merged(t: pa.Table) -> pa.RecordBatch:
+        """The first n of each of the table's groups, whose runs lie side by side in each group."""
+        starts = _starts(t["g"])
+        codes = np.zeros(t.num_rows, np.int64)
+        codes[starts[1:]] = 1
+        codes = np.cumsum(codes)
+        order = np.argsort(t["run"].to_numpy(), kind="stable")  # each run by group and place
+        cols = [codes[order], *(t[c].to_numpy()[order] for c in ("s1", "s2", "id"))]
+        cuts = [0, *(np.flatnonzero(np.diff(t["run"].to_numpy()[order])) + 1), t.num_rows]
+        runs = [tuple(c[x:y].tolist() for c in cols) for x, y in zip(cuts, cuts[1:])]
+        out = np.array(list(merge_runs(runs, n)), np.int64).reshape(-1, 3)
+        names = t["g"].combine_chunks().take(pa.array(starts[out[:, 0]]))
+        return pa.RecordBatch.from_arrays([names, pa.array(out[:, 1]), pa.array(out[:, 2])], names=["g", "rnk", "id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        enc = t["g"].combine_chunks().dictionary_encode()
-        order = pc.sort_indices(enc.dictionary).to_numpy()
-        code = np.empty(len(order), np.int64)
-        code[order] = np.arange(len(order))
-        names = enc.dictionary.take(pa.array(order))
-        codes = code[enc.indices.to_numpy()]
-        s1, s2, ids = (t[c].to_numpy() for c in ("s1", "s2", "id"))
-        cuts = [0, *(np.flatnonzero(np.diff(t["run"].to_numpy())) + 1), t.num_rows]
-        # whole groups at a time, so that only a block's rows are Python values at once
-        step = max(1, len(names) * BLOCK_ROWS // t.num_rows)
-        for low in range(0, len(names), step):
-            runs = []
-            for a, b in zip(cuts, cuts[1:]):
-                x, y = a + np.searchsorted(codes[a:b], [low, low + step])
-                if x < y:
-                    runs.append(tuple(v[x:y].tolist() for v in (codes, s1, s2, ids)))
-            out = np.array(list(merge_runs(runs, n)), np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(out[:, 0])), pa.array(out[:, 1]), pa.array(out[:, 2])], names=["g", "rnk", "id"])
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows < BLOCK_ROWS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = int(_starts(t["g"])[-1])  # the last group may go on
+            if cut:
+                yield merged(t.slice(0, cut))
+            rest = t.slice(cut)
+            if rest.num_rows >= BLOCK_ROWS:  # a group with very many runs: its first n so far are one run
+                rest = _first_of_runs(rest, n)
+                rest = rest.set_column(rest.schema.get_field_index("run"), "run", pa.array(np.full(len(rest), -1, np.int64)))
+            held, rows = rest.combine_chunks().to_batches(), rest.num_rows
+        if held:
+            yield merged(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -145,8 +163,11 @@ def top_n_per_group(df: DataFrame, n: int, group: Column, score: Column, second:
     1. Each input task sorts up to RUN_ROWS rows at a time into a run and seeks past the group's rows after
        its n-th, so a run carries at most n rows of a group: a hot group shrinks before any shuffle and no
        task ever sees it whole.
-    2. The runs are stored in buckets of groups (one hash shuffle), each run in its own order.
-    3. A task merges the runs of its bucket with a loser tree and seeks to the next group after n outputs.
+    2. The runs are stored in buckets of groups (one hash shuffle, an external sort): by group, each run's part
+       of it in its own order.
+    3. A task streams its bucket and merges the runs of a block of groups with a loser tree, seeking to the next
+       group after n outputs. It holds BLOCK_ROWS rows at a time, however large the bucket is and however many
+       runs a group has.
 
     Rows whose group, score or row_id is null, and scores that are NaN, don't take part; a null `second`
     comes last. `second` must be BIGINT in ascending sense. Ties end at row_id; rows with an equal row_id
@@ -159,5 +180,5 @@ def top_n_per_group(df: DataFrame, n: int, group: Column, score: Column, second:
         row_id.cast("long").alias("id"),
     ).where("g IS NOT NULL AND s1 IS NOT NULL AND NOT isnan(s1) AND id IS NOT NULL")
     runs = rows.mapInArrow(_form_runs(n), T.StructType([*rows.schema.fields, T.StructField("run", T.LongType()), T.StructField("pos", T.LongType())]))
-    buckets = runs.repartition("g").sortWithinPartitions("run", "pos")
+    buckets = runs.repartition("g").sortWithinPartitions("g", "run", "pos")
     return buckets.mapInArrow(_merge_bucket(n), "g string, rnk long, id long")

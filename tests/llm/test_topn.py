@@ -52,3 +52,55 @@ def test_loser_tree(k):
     assert got == [(g, n, i) for g, ids in sorted(want.items()) for n, i in enumerate(ids[:4], 1)]
     tree = LoserTree([(3,), (1,), (2,)])
     assert [tree.winner, tree.replace((9,)), tree.replace((9,))] == [1, 2, 0]
+
+
+def test_buckets_larger_than_a_block(monkeypatch):
+    """A bucket of 400 times BLOCK_ROWS streams through: no more than two blocks' and a batch's rows are held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(topn, "BLOCK_ROWS", 500)
+    rnd = np.random.default_rng(5)
+    n = 200_000
+    g = np.where(rnd.random(n) < 0.4, 7000, rnd.integers(0, 9000, n))  # one group of two fifths of the rows
+    run = rnd.integers(0, 300, n)
+    order = np.lexsort((rnd.random(n), run, g))
+    s1 = rnd.integers(0, 50, n).astype(float)
+    g, run, s1 = g[order], run[order], s1[order]
+    ids = np.arange(n)
+    inner = np.lexsort((ids, s1, run, g))  # each run's rows of a group by score
+    g, run, s1, ids = g[inner], run[inner], s1[inner], ids[inner]
+    names = np.char.add("g", np.char.zfill(g.astype(str), 5))
+    largest = 0
+
+    def batches():
+        for a in range(0, n, 250):
+            x = slice(a, a + 250)
+            yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(s1[x]), pa.array(np.zeros(len(ids[x]), np.int64)), pa.array(ids[x]), pa.array(run[x]), pa.array(ids[x])], names=["g", "s1", "s2", "id", "run", "pos"])
+
+    real = pa.Table.from_batches
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(pa.Table, name)
+
+        @staticmethod
+        def from_batches(held):
+            nonlocal largest
+            t = real(held)
+            largest = max(largest, t.num_rows)
+            return t
+
+    class Module:
+        Table = Counting()
+
+        def __getattr__(self, name):
+            return getattr(pa, name)
+
+    monkeypatch.setattr(topn, "pa", Module())
+    got = [tuple(r.values()) for b in topn._merge_bucket(3)(batches()) for r in b.to_pylist()]
+    want = {}
+    for k, s, i in sorted(zip(names.tolist(), s1.tolist(), ids.tolist())):
+        want.setdefault(k, []).append(i)
+    assert got == [(k, r, i) for k in sorted(want) for r, i in enumerate(want[k][:3], 1)]
+    assert largest <= 1250
