@@ -12,36 +12,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters drawn alike in Latin, Cyrillic and Greek; "." where a script has no such letter.
-_LATIN = "ABCEHIJKMNOPSTXYZ" "acehijopsxyv" "hqwd"
-_CYRIL = "АВСЕНІЈКМ.ОРЅТХУ." "асеһіјорѕхуѵ" "һԛԝԁ"
-_GREEK = "ΑΒϹΕΗΙͿΚΜΝΟΡ.ΤΧΥΖ" "....." "ϳορ...ν" "...."
+from ..session import stored
+
+# Letters drawn alike, a row for each script; "." where it has no such letter.
+_LATIN = "ABCEHIJKMNOPSTXYZ" "acehijopsxyvu" "hqwd"
+_CYRIL = "АВСЕНІЈКМ.ОРЅТХУ." "асеһіјорѕхуѵ." "һԛԝԁ"
+_GREEK = "ΑΒϹΕΗΙͿΚΜΝΟΡ.ΤΧΥΖ" "α....ϳορ...ν." "...."
+_ARMEN = "..........Օ.Տ...." "...հ..օ.....ս" "հ..."
+_COPTI = ".ⲂⲤ.ⲎⲒ.ⲔⲘⲚⲞⲢ.ⲦⲬⲨⲌ" ".ⲥ....ⲟⲣ....." "...."
 #: Scripts in the order in which a token that all of them could spell takes one.
-SCRIPTS = ("latin", "cyrillic", "greek")
+SCRIPTS = ("latin", "cyrillic", "greek", "armenian", "coptic")
 
 #: letter -> its spelling in each script that has one
 SPELLINGS: dict[str, dict[str, str]] = {}
-for _row in zip(_LATIN, _CYRIL, _GREEK, strict=True):
+for _row in zip(_LATIN, _CYRIL, _GREEK, _ARMEN, _COPTI, strict=True):
     _spelt = {s: c for s, c in zip(SCRIPTS, _row) if c != "."}
     for _c in _spelt.values():
         SPELLINGS.setdefault(_c, _spelt)
 
-#: Characters that show nothing: zero-width ones, soft hyphen, direction marks, variation selectors.
-_HIDDEN = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿"
+#: Characters that show nothing: zero-width ones, soft hyphen, direction marks, variation selectors, tags.
+_HIDDEN = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff"
 _DROP = re.compile(f"[{_HIDDEN}]+")
+_CYRILLIC, _ROMAN = re.compile(r"[\u0400-\u052f]"), re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+#: Compatibility forms that look the same: wide and narrow forms, joined letters, Roman numerals, letters in the
+#: mathematical and letter-like alphabets, no-break hyphen. Signs of words (such as the numero sign) stay.
+_FORMS = {i: unicodedata.normalize("NFKC", chr(i)) for i in [*range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF), *range(0x2160, 0x2180), *range(0x1D400, 0x1D800)] if unicodedata.decomposition(chr(i))}
+_FORMS |= {i: k for i in range(0x2100, 0x2150) if unicodedata.decomposition(chr(i)).startswith("<font>") and len(k := unicodedata.normalize("NFKC", chr(i))) == 1}
+_FORMS |= {0x2010: "-", 0x2011: "-", 0x0261: "g"}
+_LETTERLIKE = "".join(chr(i) for i in _FORMS if 0x2100 <= i < 0x2150) + r"\u2126\u212a\u212b"  # ohm, kelvin and angstrom compose to letters
 #: Texts with any of these need more than a look at their letters.
-_RARE = re.compile(f"[{_HIDDEN}\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2010\u2011\u2028\u2029\u202f\u205f\u3000̀-Ͽ᪰-᫿ἀ-῿ΩKÅ⃐-⃿Ꙁ-ꚟﬀ-ﬆ！-￮\U00010000-\U0010ffff]")
-_CYRILLIC, _ROMAN = re.compile("[Ѐ-ԯ]"), re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
-#: Compatibility forms that look the same: wide and narrow forms, joined letters, no-break hyphen.
-_FORMS = {i: unicodedata.normalize("NFKC", chr(i)) for i in [*range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)] if unicodedata.decomposition(chr(i))}
-_FORMS |= {0x2010: "-", 0x2011: "-"}
+_RARE = re.compile(rf"[{_HIDDEN}\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u0261\u0300-\u03ff\u0530-\u058f\u1680\u1ab0-\u1aff\u1f00-\u1fff\u2000-\u200a\u2010\u2011\u2028\u2029\u202f\u205f\u20d0-\u20ff{_LETTERLIKE}\u2160-\u217f\u2c80-\u2cff\u3000\ua640-\ua69f\ufb00-\ufb06\uff01-\uffee\U00010000-\U0010ffff]")
 _FORM = re.compile("[" + "".join(map(chr, _FORMS)).replace("-", r"\-").replace("]", r"\]") + "]")
 #: A letter that only Cyrillic has: it tells the script of a text without Roman letters.
 _DECISIVE = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c)[0] not in SPELLINGS) + "]")
-#: Letters of the three scripts; those of others look like none of them.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏͰ-ͽͿ-ϿЀ-ҁҊ-ԯḀ-῿"
+#: Letters of these scripts; those of others look like none of them.
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u037d\u037f-\u03ff\u0400-\u0481\u048a-\u052f\u0531-\u0556\u0561-\u0587\u1e00-\u1fff\u2c80-\u2ce4"
 _PLAIN_TOKEN = re.compile(f"[{_LETTER}]+")
-_TOKEN = re.compile(f"[{_LETTER}][{_LETTER}̀-ͯ]*")
+_TOKEN = re.compile(rf"[{_LETTER}][{_LETTER}\u0300-\u036f]*")
 #: White space but line feeds; it shows as blanks, at a line's end as nothing. A run's length can be seen and stays.
 _BLANK = re.compile(r"[^\S\n ]")
 _LINE_END = re.compile(r" +(?=\n)")
@@ -161,18 +168,34 @@ def same_looking(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, look binary, spelling binary")
 
 
+def _variants(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """same_looking() of the looks that have several spellings, and (look, spelling) of those, each once."""
+    rows = stored(same_looking(docs, doc_id, text), "looks")
+    many = rows.groupBy("look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("look")
+    kept = stored(rows.join(many, "look", "left_semi"), "variants")
+    return kept, kept.select("look", "spelling").distinct()
+
+
 def same_looking_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose texts look the same but aren't the same string.
 
     Looks with one spelling only (all unlike texts and all plain copies, however many) leave before the join:
-    one combinable aggregate finds the looks that have several. The join's keys are then the few looks with
-    real variants; its output is the pairs asked for, and adaptive execution splits a large one.
+    one combinable aggregate finds the looks that have several. Spellings meet first, each once, then their
+    documents are put in, so plain copies are never compared; the output is the pairs asked for, and adaptive
+    execution splits a large one.
     """
-    from ..session import stored
+    kept, spellings = _variants(docs, doc_id, text)
+    two = spellings.withColumnRenamed("spelling", "sa").join(spellings.withColumnRenamed("spelling", "sb"), "look").where("sa < sb")
+    a, b = (kept.select("look", F.col("spelling").alias(f"s{n}"), F.col("doc_id").alias(n)) for n in "ab")
+    pairs = two.join(a, ["look", "sa"]).join(b, ["look", "sb"])
+    return pairs.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
 
-    rows = stored(same_looking(docs, doc_id, text), "looks")
-    many = rows.groupBy("look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("look")
-    kept = rows.join(many, "look", "left_semi")
-    a = kept.select("look", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("sa"))
-    b = kept.select("look", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("sb"))
-    return a.join(b, "look").where("doc_id_a < doc_id_b AND sa <> sb").select("doc_id_a", "doc_id_b")
+
+def same_looking_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_docs, n_spellings): documents that look the same share the least doc_id of their class.
+
+    A row for each document of a look with several spellings; the size of the output is that of the input at most.
+    """
+    kept, spellings = _variants(docs, doc_id, text)
+    size = kept.groupBy("look").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
+    return kept.join(size, "look").join(spellings.groupBy("look").agg(F.count("*").alias("n_spellings")), "look").select("doc_id", "class_id", "n_docs", "n_spellings")

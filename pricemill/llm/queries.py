@@ -8,7 +8,7 @@ from ..session import table
 from .articles import article_groups, same_article_pairs
 from .bpe import encode_corpus
 from .copies import bare, copies, copy_counts, order_free
-from .lookalike import consistent_texts, same_looking_pairs
+from .lookalike import consistent_texts, same_looking_classes, same_looking_pairs
 from .mixing import mix_sources, shares
 from .topn import top_n_per_group
 
@@ -61,11 +61,15 @@ def p10_found(spark, sf_dir):
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark, sf_dir):
+    return same_looking_classes(table(spark, sf_dir, "documents"))
+
+
 def p10_texts(spark, sf_dir):
     return consistent_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts}
 
 SQL = {
     "p2_found": r"""
