@@ -25,7 +25,7 @@ def _quoted(text: str) -> str:
 
 _CURRENCY = "(?:" + "|".join(_quoted(c) for c in sorted(CURRENCY_NAMES, key=len, reverse=True)) + ")"
 #: Digits, plain or in threes split by one mark (blank, no-break blanks, apostrophe, comma, point), and decimals after another mark.
-_DIGITS = r"(?:[0-9]+(?:[.,][0-9]+)?|[0-9]{1,3}(?:[    ][0-9]{3})+(?:[.,][0-9]+)?|[0-9]{1,3}(?:['’][0-9]{3})+(?:[.,][0-9]+)?|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?)"
+_DIGITS = r"(?:[0-9]+(?:[.,][0-9]+)?|[0-9]{1,3}(?:[ \x{a0}\x{202f}\x{2009}][0-9]{3})+(?:[.,][0-9]+)?|[0-9]{1,3}(?:['’][0-9]{3})+(?:[.,][0-9]+)?|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?)"
 AMOUNT = rf"(?iu)^{_BLANK}(?:{_SIGN}{_BLANK}{_DIGITS}{_BLANK}{_CURRENCY}?|(?:{_SIGN}{_BLANK}{_CURRENCY}|{_CURRENCY}{_BLANK}{_SIGN}){_BLANK}{_DIGITS}){_BLANK}$"
 
 
@@ -76,8 +76,9 @@ def split_record(line: str, delimiter: str) -> list[str] | None:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records with quotes, cut by the quoting rules."""
     for b in batches:
-        fields = [None if line is None else split_record(line, d or ",") for line, d in zip(b.column("raw_line").to_pylist(), b.column("delimiter").to_pylist())]
+        fields = [split_record(line, d or ",") for line, d in zip(b.column("raw_line").to_pylist(), b.column("delimiter").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("line_id"), b.column("file_id"), pa.array(fields, pa.list_(pa.string()))], names=["line_id", "file_id", "cells"])
 
 
@@ -102,7 +103,9 @@ def load_records(lines: DataFrame, files: DataFrame, aliases: DataFrame, keep: l
     keep = keep or ["sku", "name", "price", "currency", "description", "brand", "qty"]
     layout = file_layouts(files, aliases)
     rows = lines.select("line_id", "file_id", F.coalesce("raw_line", F.lit("")).alias("raw_line")).join(files.select("file_id", "delimiter"), "file_id", "left")
-    cut = rows.select("line_id", "file_id", "raw_line", "delimiter").mapInArrow(_split, "line_id long, file_id long, cells array<string>")
+    quoted = F.contains("raw_line", F.lit('"'))
+    plain = rows.where(~quoted).select("line_id", "file_id", F.expr("split(raw_line, concat('\\\\Q', coalesce(nullif(delimiter, ''), ','), '\\\\E'), -1)").alias("cells"))
+    cut = plain.unionAll(rows.where(quoted).select("line_id", "file_id", "raw_line", "delimiter").mapInArrow(_split, "line_id long, file_id long, cells array<string>"))
     cut = cut.join(layout.drop("delimiter"), "file_id", "left")
     reason = F.when(F.col("cells").isNull(), "quoting").when(F.col("n_columns").isNull() | (F.size("cells") != F.col("n_columns")), "column_count")
     cut = cut.withColumn("reason", reason)
@@ -110,23 +113,34 @@ def load_records(lines: DataFrame, files: DataFrame, aliases: DataFrame, keep: l
     return cut.select("line_id", "file_id", "reason", *(place(f).alias(f) for f in keep))
 
 
+def judged_values(df: DataFrame, column: str, typed: Column, reason: Column) -> DataFrame:
+    """(value, typed, why): the dictionary of a column's values, each distinct one cast and judged once."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return values.select("value", typed.alias("typed"), reason.alias("why"))
+
+
 def invalid_values(df: DataFrame, column: str, reason: Column) -> DataFrame:
     """(value, why): the dictionary of a column's invalid values; each distinct value is cast once."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("why", reason).where("why IS NOT NULL")
+    return judged_values(df, column, F.lit(None), reason).where("why IS NOT NULL").drop("typed")
+
+
+def quantity_reason(c: Column) -> Column:
+    """Why a quantity isn't a whole number: 'not_a_number', 'not_whole'; null if it is one or blank, which a quantity may be."""
+    n = F.trim(c).try_cast("double")
+    return F.when(~is_blank(c), F.when(n.isNull(), "not_a_number").when(F.trim(c).try_cast("long").isNull(), "not_whole"))
 
 
 def judged_records(lines: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """load_records() with the first reason that holds: 'quoting', 'column_count', 'value' or null for valid rows.
+    """load_records() with price_value and the first reason that holds: 'quoting', 'column_count', 'value' or null.
 
-    The price's dictionary of invalid values is joined back; AQE splits a value that many rows share, nulls
-    never enter the join.
+    The dictionary of prices, each cast and judged once, is joined to the sound rows; adaptive execution splits a
+    price that many rows share. Rows with a structural reason have no price and don't enter the join.
     """
     rows = stored(load_records(lines, files, aliases), "records")
-    bad = invalid_values(rows.where("reason IS NULL"), "price", amount_reason(F.col("value")))
-    rows = rows.join(bad.withColumnRenamed("value", "price"), "price", "left")
-    value = is_blank(F.col("sku")) | is_blank(F.col("name")) | F.col("price").isNull() | F.col("why").isNotNull()
-    return rows.withColumn("reason", F.coalesce("reason", F.when(value, "value"))).drop("why")
+    sound, broken = rows.where("price IS NOT NULL"), rows.where("price IS NULL")
+    prices = judged_values(sound, "price", amount(F.col("value")), amount_reason(F.col("value"))).withColumnsRenamed({"value": "price", "typed": "price_value"})
+    sound = sound.join(prices, "price").withColumn("reason", F.coalesce("reason", F.when(is_blank(F.col("sku")) | is_blank(F.col("name")) | F.col("why").isNotNull(), "value"))).drop("why")
+    return sound.unionByName(broken.withColumn("price_value", F.lit(None).cast("double")).withColumn("reason", F.coalesce("reason", F.lit("value"))))
 
 
 def bad_records(lines: DataFrame, files: DataFrame, aliases: DataFrame, sample: DataFrame) -> DataFrame:
@@ -142,6 +156,11 @@ def bad_records(lines: DataFrame, files: DataFrame, aliases: DataFrame, sample:
 
 
 def valid_records(lines: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The other records as typed rows: line_id, file_id, sku, name, price DOUBLE, currency, description, brand, qty BIGINT."""
-    rows = judged_records(lines, files, aliases).where("reason IS NULL")
-    return rows.select("line_id", "file_id", "sku", "name", amount(F.col("price")).alias("price"), "currency", "description", "brand", F.trim("qty").try_cast("long").alias("qty"))
+    """The other records as typed rows: line_id, file_id, sku, name, price DOUBLE, currency, description, brand, qty BIGINT, qty_reason.
+
+    A quantity that isn't a whole number doesn't make a record bad; qty is null there and qty_reason says why.
+    """
+    rows = stored(judged_records(lines, files, aliases).where("reason IS NULL"), "valid")
+    known = judged_values(rows, "qty", F.trim("value").try_cast("long"), quantity_reason(F.col("value"))).withColumnsRenamed({"value": "__qty", "typed": "__typed", "why": "qty_reason"})
+    rows = rows.join(known, F.col("qty") == F.col("__qty"), "left")
+    return rows.select("line_id", "file_id", "sku", "name", F.col("price_value").alias("price"), "currency", "description", "brand", F.col("__typed").alias("qty"), "qty_reason")

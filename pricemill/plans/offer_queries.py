@@ -184,7 +184,7 @@ def stable_ids(spark, sf_dir):
 
 
 @query(r"""
-    SELECT id_internal, array_to_string(list_sort(list_distinct([lower(trim(x, e' \t\n\r ')) FOR x IN string_split(tags, ';') IF trim(x, e' \t\n\r ') <> ''])), '|') AS tags FROM sample_raw WHERE tags IS NOT NULL""")
+    SELECT id_internal, array_to_string(list_sort(list_distinct([lower(trim(x, e' \t\n\r' || chr(160))) FOR x IN string_split(tags, ';') IF trim(x, e' \t\n\r' || chr(160)) <> ''])), '|') AS tags FROM sample_raw WHERE tags IS NOT NULL""")
 def tag_split(spark, sf_dir):
     return table(spark, sf_dir, "sample_raw").where("tags IS NOT NULL").select("id_internal", F.array_join(F.array_sort(T.split_tags("tags")), "|").alias("tags"))
 
@@ -432,7 +432,7 @@ def channel_projection(spark, sf_dir):
 
 
 @query(_CHANNEL_SQL + r""", i AS (
-    SELECT *, TRY_CAST(replace("Ціна", ',', '.') AS DOUBLE) AS n, [trim(x, e' \t\n\r ') FOR x IN regexp_split_to_array(coalesce(extra, ''), '[,|]') IF trim(x, e' \t\n\r ') <> ''] AS more FROM p)
+    SELECT *, TRY_CAST(replace("Ціна", ',', '.') AS DOUBLE) AS n, [trim(x, e' \t\n\r' || chr(160)) FOR x IN regexp_split_to_array(coalesce(extra, ''), '[,|]') IF trim(x, e' \t\n\r' || chr(160)) <> ''] AS more FROM p)
     SELECT "ID" AS id, n AS priceuah, CASE "Наявність" WHEN 'В наявності' THEN 'склад' WHEN 'Під замовлення' THEN '' ELSE 'false' END AS available, "Наявність" = 'В наявності' AS in_stock,
            CASE WHEN coalesce(trim(main), '') <> '' THEN array_to_string(list_prepend(trim(main), more)[1:10], ' ') ELSE '' END AS images
     FROM i WHERE n > 0 AND n < 'infinity'::DOUBLE""")

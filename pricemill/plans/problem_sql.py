@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.bad_rows import CURRENCY_NAMES
-
 _TRIM = r"regexp_replace({x}, '^[\s\v\p{{Z}}\x{{FEFF}}]+|[\s\v\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
 
 
@@ -11,6 +9,12 @@ def _trim(x: str) -> str:
     return _TRIM.format(x=x)
 
 
+# Fixed values, stated apart from the operator: what may stand for a currency beside an amount.
+CURRENCY_NAMES = [
+    "₴", "$", "€", "£", "US$", "UAH", "USD", "EUR", "PLN", "HUF", "GBP", "CHF", "CZK",
+    "грн", "грн.", "гривня", "гривні", "гривень", "дол", "дол.", "дол. США", "долар", "долари", "доларів", "доларів США", "євро", "euro", "euros", "zł", "zl", "злотий", "злоті", "злотих", "Ft", "форинт", "форинти", "форинтів",
+]
+
 # --- 4: a record with a delimiter before it is a sequence of delimiter and field
 
 _DELIMITERS = {",": ",", ";": ";", "|": r"\|", "\t": r"\t"}
@@ -101,6 +105,17 @@ SELECT id_internal, CASE WHEN regexp_full_match(d, '[+-]?[0-9]{{1,3}}((,[0-9]{{3
     ELSE CAST(d AS DOUBLE) END AS price FROM d"""
 P4_INVALID_VALUES = f"""
 SELECT DISTINCT price AS value, CASE WHEN {_is_blank("price")} THEN 'blank' ELSE 'not_an_amount' END AS why FROM sample_raw WHERE price IS NOT NULL AND ({_is_blank("price")} OR NOT regexp_full_match(price, '{_AMOUNT}'))"""
+_FIELDS = ("sku", "name", "price", "currency", "description", "brand", "qty")
+P4_LOADED = P4_FOUND.split("p AS (", 1)[0] + f"""p AS (
+    SELECT file_id, {", ".join(f"min(place) FILTER (field = '{f}') AS {f}_at" for f in _FIELDS)}
+    FROM h JOIN (SELECT DISTINCT lower({_trim("alias_name")}) AS k, field FROM column_alias) ON k = lower({_trim("header")}) GROUP BY file_id),
+v AS (SELECT line_id, file_id, n, sound, raw, {", ".join(f"CASE WHEN raw[{f}_at] LIKE '{chr(34)}%' THEN replace(raw[{f}_at][2:-2], '{chr(34) * 2}', '{chr(34)}') ELSE raw[{f}_at] END AS {f}" for f in _FIELDS)} FROM cut JOIN p USING (file_id)),
+g AS (SELECT * FROM v WHERE sound AND len(raw) = n AND NOT {_is_blank("sku")} AND NOT {_is_blank("name")} AND NOT {_is_blank("price")} AND regexp_full_match(price, '{_AMOUNT}')),
+d AS (SELECT *, {_PRICE} AS d FROM g)
+SELECT line_id, file_id, sku, name, CASE WHEN regexp_full_match(d, '[+-]?[0-9]{{1,3}}((,[0-9]{{3}})+|(\\.[0-9]{{3}})+)') THEN CAST(regexp_replace(d, '[.,]', '', 'g') AS DOUBLE)
+    WHEN regexp_matches(d, '[.,]') THEN CAST(regexp_replace(regexp_extract(d, '^(.*)[.,]([0-9]+)$', 1), '[.,]', '', 'g') || '.' || regexp_extract(d, '^(.*)[.,]([0-9]+)$', 2) AS DOUBLE)
+    ELSE CAST(d AS DOUBLE) END AS price, currency, description, brand, CASE WHEN regexp_full_match(qty, ' *[+-]?[0-9]+ *') THEN CAST(trim(qty) AS BIGINT) END AS qty,
+    CASE WHEN {_is_blank("qty")} OR regexp_full_match(qty, ' *[+-]?[0-9]+ *') THEN NULL WHEN TRY_CAST(trim(qty) AS DOUBLE) IS NULL THEN 'not_a_number' ELSE 'not_whole' END AS qty_reason FROM d"""
 P5_UNITS = P5_FOUND.rsplit("SELECT product_id, CAST", 1)[0].replace("SELECT product_id, price, CASE WHEN x = ''", "SELECT CASE WHEN filled THEN 'currency' WHEN x <> '' THEN 'text' ELSE 'default' END AS said, CASE WHEN x = ''") + "SELECT code AS unit_code, factor AS unit_factor, said, count(*) AS n FROM k GROUP BY ALL"
 
 P7_LIFESPANS = P7_FOUND.split(",\nj AS (", 1)[0] + """,
@@ -108,4 +123,11 @@ i AS (SELECT s AS supplier_key, field, template_id, n, n - row_number() OVER (PA
 SELECT supplier_key, field, dense_rank() OVER (PARTITION BY supplier_key, field ORDER BY run) AS island, arg_min(template_id, n) AS first_template_id, arg_max(template_id, n) AS last_template_id, count(*) AS n_versions
 FROM i GROUP BY supplier_key, field, run"""
 
-SQL = {"p4_found": P4_FOUND, "p4_sample_prices": P4_SAMPLE_PRICES, "p4_invalid_values": P4_INVALID_VALUES, "p5_found": P5_FOUND, "p5_units": P5_UNITS, "p7_found": P7_FOUND, "p7_lifespans": P7_LIFESPANS}
+P7_TYPES = P7_FOUND.split(",\nd AS (", 1)[0] + """,
+ii AS (SELECT s AS supplier_key, g.field, g.kind, template_id, n, n - row_number() OVER w AS run, last_value(g.kind IGNORE NULLS) OVER (PARTITION BY s, g.field ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS told
+    FROM g JOIN v USING (template_id) WINDOW w AS (PARTITION BY s, g.field ORDER BY n)),
+cc AS (SELECT *, CASE WHEN lag(run) OVER w IS DISTINCT FROM run OR (kind IS NOT NULL AND told IS NOT NULL AND kind <> told) THEN 1 ELSE 0 END AS turn FROM ii WINDOW w AS (PARTITION BY supplier_key, field ORDER BY n)),
+l AS (SELECT *, sum(turn) OVER (PARTITION BY supplier_key, field ORDER BY n) AS type_island FROM cc)
+SELECT supplier_key, field, CAST(type_island AS BIGINT) AS type_island, max(kind) AS kind, arg_min(template_id, n) AS first_template_id, arg_max(template_id, n) AS last_template_id, count(*) AS n_versions FROM l GROUP BY supplier_key, field, type_island"""
+
+SQL = {"p7_types": P7_TYPES, "p4_found": P4_FOUND, "p4_loaded": P4_LOADED, "p4_sample_prices": P4_SAMPLE_PRICES, "p4_invalid_values": P4_INVALID_VALUES, "p5_found": P5_FOUND, "p5_units": P5_UNITS, "p7_found": P7_FOUND, "p7_lifespans": P7_LIFESPANS}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.bad_rows import amount, amount_reason, bad_records, invalid_values, valid_records
 from ..operators.packed_fields import choose_dialects, unpack_fields
 from ..operators.price_units import rates, to_kopiykas, with_unit
-from ..operators.schema_drift import column_changes, consistent_rows, field_lifespans
+from ..operators.schema_drift import column_changes, consistent_rows, field_lifespans, type_lifespans
 from ..operators.unit_hmm import decode_units
 from ..session import table
 from .problem_sql import SQL as SQL
@@ -91,9 +91,13 @@ def p7_lifespans(spark, sf_dir):
     return field_lifespans(*_feeds(spark, sf_dir))
 
 
+def p7_types(spark, sf_dir):
+    return type_lifespans(*_feeds(spark, sf_dir))
+
+
 def p7_rows(spark, sf_dir):
     rows = consistent_rows(*_feeds(spark, sf_dir))
     return rows.withColumns({c: F.to_json(c) for c in ("others", "unfit")})
 
 
-QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_sample_prices": p4_sample_prices, "p4_invalid_values": p4_invalid_values, "p5_found": p5_found, "p5_units": p5_units, "p5_decoded": p5_decoded, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_rows": p7_rows}
+QUERIES = {"p1_found": p1_found, "p1_dialects": p1_dialects, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_sample_prices": p4_sample_prices, "p4_invalid_values": p4_invalid_values, "p5_found": p5_found, "p5_units": p5_units, "p5_decoded": p5_decoded, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_types": p7_types, "p7_rows": p7_rows}

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; where that is unset a local session gets a temporary one.
+
+    On a cluster a machine's own folder isn't seen by the other executors, so the setting must be there.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pricemill-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")

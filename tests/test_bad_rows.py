@@ -45,3 +45,12 @@ def test_reasons(spark):
 def test_empty(spark):
     sample = spark.createDataFrame([], "id_internal string, price string")
     assert bad_records(*_tables(spark, []), sample).count() == 0
+
+
+def test_quantities_and_quotes_inside(spark):
+    """A quantity that isn't whole keeps its record and says why; delimiters that are patterns elsewhere split plainly."""
+    files = spark.createDataFrame([(1, "|", "sku|name|price|qty")], "file_id long, delimiter string, header_line string")
+    aliases = spark.createDataFrame([(f, f) for f in ("sku", "name", "price", "qty")], "field string, alias_name string")
+    lines = [(1, 1, "a|n|1|3"), (2, 1, "a|n|1|3.5"), (3, 1, "a|n|1|many"), (4, 1, "a|n|1| "), (5, 1, 'a|"n|m"|1|7'), (6, 1, 'a|n 5" x|1|8')]
+    got = {r.line_id: (r.name, r.qty, r.qty_reason) for r in valid_records(spark.createDataFrame(lines, "line_id long, file_id long, raw_line string"), files, aliases).collect()}
+    assert got == {1: ("n", 3, None), 2: ("n", None, "not_whole"), 3: ("n", None, "not_a_number"), 4: ("n", None, None), 5: ("n|m", 7, None), 6: ('n 5" x', 8, None)}
