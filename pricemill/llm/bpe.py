@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that cuts text into words before merges, as the vocabulary's publisher gives it.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Chunks whose ids a worker keeps between batches; beyond it the store starts anew (speed only).
-KEEP_CHUNKS = 1 << 20
+#: Bytes of chunks, words and ids that a worker keeps between batches, about; beyond it the store starts anew (speed only).
+KEEP_BYTES = 192 << 20
+#: What an entry of the store's tables takes beside its text and ids, about.
+ENTRY_BYTES = 160
 
 
 class PrefixEncoder:
@@ -94,6 +96,22 @@ def encoder(path: str) -> PrefixEncoder:
         return PrefixEncoder({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
 
+class Growing:
+    """A numeric array that is appended to; its capacity doubles, so that appending copies each value twice at most."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.room):
+            room = np.empty(max(need, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : need] = more
+        self.n = need
+
+
 class ChunkStore:
     """Ids of text chunks, kept by a worker: all ids in one pool, a slot (start, length) for each chunk."""
 
@@ -104,7 +122,8 @@ class ChunkStore:
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
-        self.pool, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.start, self.size = Growing(np.int32), Growing(np.int64), Growing(np.int64)
+        self.held = 0
 
     def slots(self, chunks: list[str]) -> np.ndarray:
         new = [c for c in dict.fromkeys(chunks) if c not in self.slot]
@@ -114,9 +133,11 @@ class ChunkStore:
             self.words.update((w.decode("utf-8", "surrogatepass"), ids) for w, ids in self.encoder.encode_words(list(fresh)).items())
             rows = [[i for w in ws for i in self.words[w]] for ws in parts]
             size = np.fromiter(map(len, rows), np.int64, len(rows))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for r in rows for i in r), np.int32, int(size.sum()))])
+            self.start.extend(self.pool.n + np.cumsum(size) - size)
+            self.size.extend(size)
+            self.pool.extend(np.fromiter((i for r in rows for i in r), np.int32, int(size.sum())))
+            # letters may take 4 bytes each; a word's ids are a list of 8 bytes each beside their 4 in the pool
+            self.held += 4 * (sum(map(len, new)) + sum(map(len, fresh))) + 12 * int(size.sum()) + ENTRY_BYTES * (len(new) + len(fresh))
             self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
         return np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
 
@@ -158,17 +179,17 @@ def _chunk_slots(store: ChunkStore, text: pa.Array) -> tuple[np.ndarray, np.ndar
 def encode_batch(path: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, the number of ids of each text); null counts as empty."""
     store = _store(path)
-    if len(store.slot) > KEEP_CHUNKS:
+    if store.held > KEEP_BYTES:
         store.clear()
     if not len(text):
         return np.empty(0, np.int32), np.empty(0, np.int64)
     slots, count = _chunk_slots(store, text)
-    size = store.size[slots]
+    size = store.size.room[slots]
     upto = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(store.start[slots] - upto[:-1], size)
+    at = np.repeat(store.start.room[slots] - upto[:-1], size)
     at += np.arange(upto[-1])
     ends = np.concatenate([[0], np.cumsum(count)])
-    return store.pool[at], np.diff(upto[ends])
+    return store.pool.room[at], np.diff(upto[ends])
 
 
 def _texts(column: pa.Array) -> Iterator[pa.Array]:

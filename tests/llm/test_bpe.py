@@ -61,3 +61,22 @@ def test_shared_prefixes_are_encoded_once(library):
     enc = bpe.PrefixEncoder(bpe.encoder(bpe.DEFAULT_RANKS).ranks)
     words = [w.encode() for w in ("token", "tokens", "tokenizer", "tokenizers", "to", "грн", "гривня")]
     assert enc.encode_words(words) == {w: library.encode_ordinary(w.decode()) for w in words}
+
+
+def test_store_is_bounded_by_bytes(monkeypatch):
+    """Long texts without blanks are chunks of their own: the store starts anew by their bytes, and ids stay the same."""
+    import pyarrow as pa
+
+    from pricemill.llm import bpe
+
+    texts = [f"слово{i}" * 4000 + f" and {i}" for i in range(12)] + ["", "plain words"]
+    one = [bpe.encode_batch(bpe.DEFAULT_RANKS, pa.array([t]))[0].tolist() for t in texts]
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 300_000)
+    store = bpe._store(bpe.DEFAULT_RANKS)
+    store.clear()
+    most = 0
+    for t, want in zip(texts, one):
+        assert bpe.encode_batch(bpe.DEFAULT_RANKS, pa.array([t]))[0].tolist() == want
+        most = max(most, store.held)
+    assert 300_000 < most < 900_000
+    store.clear()
