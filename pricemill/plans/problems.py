@@ -63,9 +63,9 @@ KINDS = "(телефон|смартфон|phone|чохол|накладка|cove
 
 
 def p5_decoded(spark, sf_dir):
-    """Units decoded by the hidden Markov model, a supplier being the device and a month a block, beside the recorded ones.
+    """Units decoded by the hidden Markov model, a supplier being the device, beside the recorded ones.
 
-    A filled currency fixes the unit; where none is, the decoded unit shows what the method makes of the price.
+    The model is fitted on the rows with a filled currency. A filled currency fixes the unit; where none is, the decoded unit shows what the method makes of the price.
     """
     rows = with_unit(table(spark, sf_dir, "product")).where("price > 0 AND NOT isnan(price)")
     rows = rows.withColumn("unit", F.concat_ws(" x ", "unit_code", F.col("unit_factor").cast("string"))).withColumn("kind", F.regexp_extract(F.lower(F.concat_ws(" ", "name", "sku")), KINDS, 1))
@@ -75,7 +75,7 @@ def p5_decoded(spark, sf_dir):
     level = rows.where("said = 'currency'").groupBy("kind").agg(F.percentile_approx(F.log(F.col("price") * worth[F.col("unit")]), 0.5, 1000).alias("level"))
     rows = rows.join(F.broadcast(level), "kind", "left")  # a row for each of KINDS
     fixed = F.when(F.col("said") == "currency", F.col("unit"))
-    out = decode_units(rows, "product_id", F.col("supplier"), F.date_format("loaded_at", "yyyy-MM"), F.col("loaded_at"), F.col("price"), units, F.col("level"), fixed)
+    out = decode_units(rows, "product_id", F.col("supplier"), F.col("loaded_at"), F.col("price"), units, F.col("level"), fixed)
     return out.join(rows.select("product_id", F.col("unit").alias("recorded"), "said"), "product_id")
 
 
