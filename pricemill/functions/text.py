@@ -95,18 +95,23 @@ def parse_price(c: Column | str) -> Column:
     Blanks go and the Unicode minus becomes "-"; only digits, commas, points and one leading minus stay. Of a
     comma and a point the later is the decimal mark; a lone comma is one, several commas or points group.
     """
-    t = F.regexp_replace(F.translate(utrim(c), "−", "-"), r"[^0-9,.\-]", "")
-    t = F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.translate(t, "-", ""))
-    comma, point = F.instr(F.reverse(t), ","), F.instr(F.reverse(t), ".")
-    n_comma, n_point = F.length(t) - F.length(F.translate(t, ",", "")), F.length(t) - F.length(F.translate(t, ".", ""))
-    plain = (
-        F.when((n_comma > 0) & (n_point > 0), F.when(comma < point, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", "")))
-        .when(n_comma == 1, F.translate(t, ",", "."))
-        .when(n_comma > 1, F.translate(t, ",", ""))
-        .when(n_point > 1, F.translate(t, ".", ""))
-        .otherwise(t)
-    )
-    return F.when(t.rlike("[0-9]"), plain.try_cast("double"))
+    clean = F.regexp_replace(F.translate(utrim(c), "−", "-"), r"[^0-9,.\-]", "")
+
+    def value(t: Column) -> Column:
+        comma, point = F.instr(F.reverse(t), ","), F.instr(F.reverse(t), ".")
+        n_comma, n_point = F.length(t) - F.length(F.translate(t, ",", "")), F.length(t) - F.length(F.translate(t, ".", ""))
+        plain = (
+            F.when((n_comma > 0) & (n_point > 0), F.when(comma < point, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", "")))
+            .when(n_comma == 1, F.translate(t, ",", "."))
+            .when(n_comma > 1, F.translate(t, ",", ""))
+            .when(n_point > 1, F.translate(t, ".", ""))
+            .otherwise(t)
+        )
+        return F.when(t.rlike("[0-9]"), plain.try_cast("double"))
+
+    # a step is bound to a name, so that its expression isn't spelt out at each use
+    signed = F.transform(F.array(clean), lambda x: F.concat(F.when(x.startswith("-"), "-").otherwise(""), F.translate(x, "-", "")))
+    return F.element_at(F.transform(signed, value), 1)
 
 
 def price_label(c: Column | str) -> Column:

@@ -157,9 +157,20 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A file's rows as text columns, by its suffix."""
+def _suffix(spark: SparkSession, path: str) -> str:
+    """The suffix of a file, or of the first part of a folder of parts."""
     kind = os.path.splitext(urlparse(path).path)[1].lower()
+    if kind:
+        return kind
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+    return next((os.path.splitext(n)[1].lower() for n in names if n[0] not in "_."), "")
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A file's rows as text columns, by its suffix; a folder's parts are one file."""
+    kind = _suffix(spark, path)
     if kind == ".csv":
         return read_csv(spark, path)
     if kind == ".json":
