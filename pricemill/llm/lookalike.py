@@ -42,7 +42,8 @@ _FORMS |= {0x2010: "-", 0x2011: "-", 0x0261: "g"}
 _LETTERLIKE = "".join(chr(i) for i in _FORMS if 0x2100 <= i < 0x2150) + r"\u2126\u212a\u212b"  # ohm, kelvin and angstrom compose to letters
 #: Texts with any of these need more than a look at their letters.
 _RARE = re.compile(rf"[{_HIDDEN}\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u0261\u0300-\u03ff\u0530-\u058f\u1680\u1ab0-\u1aff\u1f00-\u1fff\u2000-\u200a\u2010\u2011\u2028\u2029\u202f\u205f\u20d0-\u20ff{_LETTERLIKE}\u2160-\u217f\u2c80-\u2cff\u3000\ua640-\ua69f\ufb00-\ufb06\uff01-\uffee\U00010000-\U0010ffff]")
-_FORM = re.compile("[" + "".join(map(chr, _FORMS)).replace("-", r"\-").replace("]", r"\]") + "]")
+# one range for the mathematical letters: single characters beyond the basic plane are tried one by one
+_FORM = re.compile("[" + "".join(chr(i) for i in _FORMS if i < 0x10000).replace("-", r"\-").replace("]", r"\]") + r"\U0001d400-\U0001d7ff]")
 #: A letter that only Cyrillic has: it tells the script of a text without Roman letters.
 _DECISIVE = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c)[0] not in SPELLINGS) + "]")
 #: Letters of these scripts; those of others look like none of them.
@@ -121,7 +122,7 @@ class Consistent:
         if text is None:
             return None
         if rare := _RARE.search(text):
-            text = _BLANK.sub(" ", _FORM.sub(lambda m: _FORMS[ord(m[0])], _DROP.sub("", text)).replace("\r\n", "\n"))
+            text = _BLANK.sub(" ", _FORM.sub(lambda m: _FORMS.get(ord(m[0]), m[0]), _DROP.sub("", text)).replace("\r\n", "\n"))
         if rare or (_CYRILLIC.search(text) and (_ROMAN.search(text) or not _DECISIVE.search(text))):
             text = self._letters(text, bool(rare))
         if rare:
