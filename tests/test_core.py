@@ -207,3 +207,63 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from pricemill import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("Bo-Alpha7x!", ["Alpha 7x"]),
+        ("alpha 7x and boalpha7x", ["Alpha 7x"]),
+        ("Bo Alpha 7xl", []),
+        ("Bo big Alpha and 7x", ["Alpha 7x"]),
+        ("custom-99", ["C"]),
+        ("", []),
+        (None, []),
+        ("x" * 50000 + " Bo Alpha 7x", ["Alpha 7x"]),
+    ],
+)
+def test_model_mentions(name, want):
+    models = [{"brand": "Bo", "name": "Alpha 7x", "tags": ["Alpha 7x"]}, {"brand": "Cy", "name": "C", "tags": ["C"], "pattern": r"custom-\d+"}, {"brand": "Cy", "name": "bad", "tags": ["bad"], "pattern": "("}]
+    assert Lexicon(models).of(name) == want
+
+
+def test_longest_mention():
+    words = Lexicon([{"brand": "Bo", "name": "Alpha", "tags": []}, {"brand": "Bo", "name": "Alpha 7x", "tags": []}])
+    assert words.longest("see Bo-Alpha 7X now") == "Bo-Alpha 7X" and words.longest("none") is None
+
+
+def test_types_of_a_field(spark):
+    from pricemill.operators.schema_drift import column_changes, type_lifespans
+
+    versions = spark.createDataFrame([(i, " S ", f"2024-01-0{i}", ["Sku", "Price"] if i != 4 else ["Sku"], {}) for i in range(1, 6)], "template_id long, supplier string, saved_at string, headers array<string>, column_mapping map<string,string>")
+    values = {1: "5", 2: "6", 3: '"x"', 5: "true"}
+    feed = spark.createDataFrame([(i, i, json.dumps({"sku": "a"})[:-1] + f', "Price ": {v}}}') for i, v in values.items()] + [(9, 2, "broken"), (10, 2, "[1]")], "row_id long, template_id long, payload string")
+    aliases = spark.createDataFrame([("sku", " SKU"), ("price", "price"), ("x", None)], "field string, alias_name string")
+    got = {(r.field, r.type_island): (r.kind, r.first_template_id, r.last_template_id) for r in type_lifespans(versions, feed, aliases).collect()}
+    assert got == {("sku", 1): ("string", 1, 5), ("price", 1): ("number", 1, 2), ("price", 2): ("string", 3, 3), ("price", 3): ("boolean", 5, 5)}
+    changes = {tuple(r) for r in column_changes(versions, feed, aliases).collect()}
+    assert changes == {(3, "price", "retyped"), (4, "price", "removed"), (5, "price", "added")}
+    assert type_lifespans(versions, feed.limit(0), aliases.limit(0)).count() == 0
