@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, words
+from ..functions.text import jaccard, utrim, words
+from .ranking import places
 
 #: Ties of a price: supplier, sku, name.
 ORDER = ("price", "supplier", "sku", "name")
@@ -43,7 +44,17 @@ def compare_by_name(offers: DataFrame, name: str, threshold: float = 0.75) -> Da
 
 
 def offers_for(offers: DataFrame, sku: Column) -> DataFrame:
-    return offers.where(F.lower("sku") == F.lower(sku))
+    """All offers of one sku, whatever its letter case and outer blanks."""
+    return offers.where(F.lower("sku") == F.lower(utrim(sku)))
+
+
+def offer_lists(offers: DataFrame) -> DataFrame:
+    """sku_key, place and the offer: each sku's offers from the cheapest on.
+
+    The lists stay flat, a row for each offer, so that a sku of any number of offers is spread over tasks.
+    """
+    rows = offers.where("sku IS NOT NULL").select(F.lower("sku").alias("sku_key"), *ORDER)
+    return places(rows, "sku_key", [F.col(c) for c in ORDER], name="offer_lists")
 
 
 def union_lists(*lists: DataFrame) -> DataFrame:

@@ -216,6 +216,23 @@ def board_search(query: str) -> Column:
     return F.lit(True) if not q else F.greatest(*(F.coalesce(F.lower(t).contains(q), F.lit(False)) for t in texts))
 
 
+#: What the board can be sorted by.
+SORTS = ("store_sku", "store_name", "store_tags", "store_price", "sku", "name", "supplier", "price", "similarity", "status")
+
+
+def board_order(column: str, descending: bool = False) -> list[Column]:
+    """A sort of the board's rows: missing values last either way, then the row's id in the same direction.
+
+    Texts are compared in lower case, blank ones are missing; tags as one text. Any of SORTS, else ValueError.
+    """
+    if column not in SORTS:
+        raise ValueError(f"no column {column}")
+    c = F.array_join(F.array_sort("store_tags"), ", ") if column == "store_tags" else F.col(column)
+    key = c if column in ("store_price", "price", "similarity") else F.nullif(F.lower(c), F.lit(""))
+    ids = [F.coalesce("group_id", F.lit("")), F.coalesce("store_id", F.lit("")), F.coalesce("match_id", F.lit("")), F.coalesce("price", F.lit(-1.0))]
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), *(i.desc() if descending else i.asc() for i in ids)]
+
+
 def display_class(low: float = 0.45) -> Column:
     """How a row is shown: confirmed ones 'match-full', flagged or weak matches 'match-low', others 'match-none'."""
     weak = F.col("match_id").isNotNull() & (F.col("similarity") < low)

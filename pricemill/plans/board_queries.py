@@ -124,6 +124,12 @@ def board_search(spark, sf_dir):
     return _board(spark, sf_dir).where(matching.board_search(" Galtimo")).select("group_id", "store_id", "match_id", "supplier")
 
 
+@query(_BOARD_SQL + """SELECT group_type, group_id, match_id, price, row_number() OVER (PARTITION BY group_type ORDER BY nullif(lower(supplier), '') DESC NULLS LAST, group_id DESC, coalesce(store_id, '') DESC, coalesce(match_id, '') DESC, coalesce(price, -1) DESC)::INT AS place FROM rows""")
+def board_sort(spark, sf_dir):
+    """The board's rows by supplier, descending, those without one last."""
+    return places(_board(spark, sf_dir), "group_type", matching.board_order("supplier", True)).select("group_type", "group_id", "match_id", "price", "place")
+
+
 @query(_BOARD_SQL + "SELECT CASE WHEN status = 'confirmed' THEN 'match-full' WHEN status = 'flagged' OR (match_id IS NOT NULL AND similarity < 0.45) THEN 'match-low' ELSE 'match-none' END AS shown, group_type, count(*) AS n FROM rows GROUP BY ALL")
 def board_display(spark, sf_dir):
     return _board(spark, sf_dir).groupBy(matching.display_class().alias("shown"), "group_type").agg(F.count("*").alias("n"))

@@ -90,6 +90,33 @@ def compare_by_name(spark, sf_dir):
     return compare.compare_by_name(offers(spark, sf_dir), "red widget extra", 0.5)
 
 
+@query(OFFERS_SQL + f"""
+    , n AS (SELECT name, {_WORDS.format(x="name")} AS a, {_WORDS.format(x="'red widget'")} AS b FROM (SELECT DISTINCT name FROM offers)),
+    s AS (SELECT name, {_JACCARD.format(a="a", b="b")} AS similarity FROM n)
+    SELECT lower(sku) AS sku_key, max(similarity) AS similarity, (list(name ORDER BY price, supplier, sku, name))[1] AS name, min(price) AS best_price,
+           (list(supplier ORDER BY price, supplier, sku, name))[1] AS best_supplier, count(*) AS n_offers
+    FROM offers JOIN s USING (name) WHERE similarity >= 0.75 GROUP BY lower(sku)""")
+def compare_by_close_name(spark, sf_dir):
+    """At the threshold that holds where none is given."""
+    return compare.compare_by_name(offers(spark, sf_dir), "Red  WIDGET")
+
+
+@query(OFFERS_SQL + "SELECT lower(sku) AS sku_key, row_number() OVER (PARTITION BY lower(sku) ORDER BY price, supplier, sku, name)::INT AS place, supplier, price FROM offers")
+def offer_lists(spark, sf_dir):
+    """Each sku's offers in the order of their prices."""
+    return compare.offer_lists(offers(spark, sf_dir)).select("sku_key", "place", "supplier", "price")
+
+
+@query(OFFERS_SQL + "SELECT sku, supplier, price, qty FROM offers WHERE lower(sku) = 'sku-7'")
+def offers_for(spark, sf_dir):
+    return compare.offers_for(offers(spark, sf_dir), F.lit(" Sku-7 ")).select("sku", "supplier", "price", "qty")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 100, 0) AS INT) AS VARCHAR) || '%' AS label FROM lineitem")
+def percent_labels(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.percent_label("l_discount").alias("label"))
+
+
 @query(OFFERS_SQL + """
     SELECT lower(sku) AS sku_key, min(price) AS price, (list(supplier ORDER BY price, supplier, sku, name))[1] AS supplier, (list(sku ORDER BY price, supplier, sku, name))[1] AS sku,
            (list(name ORDER BY price, supplier, sku, name))[1] AS name FROM offers GROUP BY lower(sku)""")
@@ -170,6 +197,15 @@ def search_exact(spark, sf_dir):
     return search.search(searchable(spark, sf_dir), "widget economy").select("supplier", "sku", "name", "price", "score")
 
 
+@query(_SEARCH_SQL + """
+    SELECT supplier, sku, name, price, 1.0::DOUBLE AS score FROM s WHERE lower(supplier) = (SELECT lower(min(s_name)) FROM supplier) AND (contains(h, 'widget') OR list_contains(w, 'widget'))
+    ORDER BY price, supplier, sku, name LIMIT 20""")
+def search_supplier(spark, sf_dir):
+    """The best offers of one supplier only."""
+    first = table(spark, sf_dir, "supplier").agg(F.min("s_name")).first()[0]
+    return search.search(searchable(spark, sf_dir), "Widget", supplier=first.upper()).select("supplier", "sku", "name", "price", "score")
+
+
 @query()
 def search_fuzzy(spark, sf_dir):
     return search.search(searchable(spark, sf_dir), "widgt ecnomy", fuzzy=True, threshold=0.5).select("supplier", "sku", "name", "price", F.round("score", 6).alias("score"))
