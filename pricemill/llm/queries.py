@@ -71,7 +71,24 @@ def p10_texts(spark, sf_dir):
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_counts": p6_counts, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts}
 
+# Looks in SQL, apart from the operator: every text is folded to Latin letters whatever its script, so nothing is decided by token.
+_FOLD = {"АВСЕНІЈКМОРЅТХУасеһіјорѕхуѵԛԝԁ": "ABCEHIJKMOPSTXYacehijopsxyvqwd", "ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖϳορν": "ABCEHIJKMNOPTXYZjopv"}
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_FROM, _TO = "".join(_FOLD) + _WIDE, "".join(_FOLD.values()) + "".join(map(chr, range(0x21, 0x7F)))
+_BARE = r"regexp_replace(text, '[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g')"
+_LIGHT = f"replace({_BARE}, chr(13) || chr(10), chr(10))"
+for _a, _b in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\u2011", "-"), ("\u2010", "-")):
+    _LIGHT = f"replace({_LIGHT}, '{_a}', '{_b}')"
+# accents are composed after the letters under them are folded
+_FOLDED = "translate(" + _LIGHT + ", '" + _FROM.replace("'", "''") + "', '" + _TO.replace("'", "''") + "')"
+for _a, _b in (("\u0457", "i\u0308"), ("\u0407", "I\u0308"), ("\u0451", "e\u0308"), ("\u0401", "E\u0308"), ("\u045e", "y\u0306"), ("\u040e", "Y\u0306")):
+    _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
+_LOOK = rf"""regexp_replace(regexp_replace(regexp_replace(nfc_normalize({_FOLDED}), '[\t\v\f\r\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]', ' ', 'g'), ' +\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_LOOKS = f"WITH d AS (SELECT doc_id, text, {_LOOK} AS look FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, text, look FROM d WHERE look <> '')"
+
 SQL = {
+    "p10_found": _LOOKS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_classes": _LOOKS + ", g AS (SELECT look, min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_spellings FROM k GROUP BY look) SELECT doc_id, class_id, n_docs, n_spellings FROM k JOIN g USING (look) WHERE n_spellings > 1",
     "p2_found": r"""
         WITH o AS (
             SELECT lower(regexp_replace(sku, '^[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]+|[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]+$', '', 'g')) AS sku, offer_id, price, updated_at
