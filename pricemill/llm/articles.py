@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -328,14 +329,16 @@ def rare_brands(products: DataFrame, labels: DataFrame, book: list[str]) -> Data
 def parse_listings(products: DataFrame) -> DataFrame:
     """(product_id, supplier, key, brand, gtin, part, copy_key, name_key, stated, coined): what identifies each listing.
 
-    key is article_key(); part is a maker's part number given as the sku; copy_key is sku and name, name_key
-    supplier and name, by letters and digits only and without sales talk at the name's end; stated holds
+    key is article_key(); part is a maker's part number given as the sku; copy_key is a digest of sku and name, name_key
+    of supplier and name, by letters and digits only and without sales talk at the name's end; stated holds
     "property=value" of all that tells articles apart, for a listing with a key also that it has no edition;
     coined tells whether the model is what follows the brand in free wording.
     """
     labels = stored(brand_labels(products), "brands")
     book = [r.b for r in labels.orderBy(F.desc("n"), "b").limit(MOST_BRANDS).collect()]
-    rows = products.select(F.col("product_id").cast("long").alias("product_id"), F.col("supplier").cast("string").alias("supplier"), F.col("sku").cast("string").alias("sku"), F.col("name").cast("string").alias("name"), F.col("description").cast("string").alias("description"), order_free(bare("sku"), bare("name")).alias("copy_key"))
+    rows = products.select(F.col("product_id").cast("long").alias("product_id"), F.col("supplier").cast("string").alias("supplier"), F.col("sku").cast("string").alias("sku"), F.col("name").cast("string").alias("name"), F.col("description").cast("string").alias("description"), order_free(bare("sku"), bare("name")).alias("copy"))
+    # digests, as both keys go through several shuffles; the first letter tells whether sku and name are both there
+    rows = rows.withColumn("copy_key", F.concat(F.when(F.col("copy").rlike("^[^\\x00\\x01]+\\x01[^\\x00\\x01]+$"), "b").otherwise("a"), F.md5("copy"))).drop("copy")
     if len(book) < MOST_BRANDS:
         rows = rows.withColumn("seen", F.lit(None).cast("string"))
     else:
@@ -355,7 +358,7 @@ def parse_listings(products: DataFrame) -> DataFrame:
                 told = {p: v for p, v in a.items() if p not in ("brand", "gtin", "coined")} | ({"edition": a.get("edition", "")} if key else {})
                 if a.get("kind") == "case" and "for" not in a:  # the only model may be the phone's
                     told = {p: v for p, v in told.items() if p not in ("model", "edition")}
-                out.append((key, a.get("brand"), a.get("gtin"), part if _PART.match(part) else None, f"{supplier}|{only}" if only else None, [f"{p}={v}" for p, v in told.items()], "coined" in a))
+                out.append((key, a.get("brand"), a.get("gtin"), part if _PART.match(part) else None, hashlib.blake2b(f"{supplier}|{only}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if only else None, [f"{p}={v}" for p, v in told.items()], "coined" in a))
             key, brand, gtin, part, name_key, told, coined = zip(*out) if out else ([],) * 7
             text = lambda v: pa.array(v, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("product_id"), b.column("supplier"), text(key), text(brand), text(gtin), text(part), b.column("copy_key"), text(name_key), pa.array(told, pa.list_(pa.string())), pa.array(coined, pa.bool_())], names=out_names)
@@ -445,7 +448,7 @@ def _unkeyed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     states two such values is split: its rows meet only in their most reliable identifier.
     """
     more = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), c)) for c in ("brand", "gtin", "part")]
-    rest = rows.join(joined, "product_id", "left_anti").withColumn("copy_key", F.when(F.col("copy_key").rlike("^[^\u0000\u0001]+\u0001[^\u0000\u0001]+$"), F.col("copy_key")))
+    rest = rows.join(joined, "product_id", "left_anti").withColumn("copy_key", F.when(F.col("copy_key").startswith("b"), F.col("copy_key")))
     rest = rest.withColumn("name_key", F.when(F.exists("stated", lambda t: t.startswith("model=")), F.col("name_key"))).withColumn("stated", F.concat("stated", F.array_compact(F.array(*more))))
     told = stored(rest.select("product_id", "stated"), "unkeyed")
     edges = stored(_edges(rest), "unkeyed_edges")
