@@ -25,14 +25,31 @@ class Reach(NamedTuple):
     """Which token sets of two sides reach a similarity, without a row for each pair that only hot tokens join.
 
     Sets of one size that hold the same hot tokens are one class, and all pairs of two classes share the same
-    hot tokens. near: (a_class, b_class, similarity) from hot tokens alone; pairs: (a_key, b_key, similarity)
+    hot tokens. near(): (a_class, b_class, similarity) from hot tokens alone; pairs: (a_key, b_key, similarity)
     of the sets that share a token that isn't hot, exact. A pair in both has the similarity of pairs.
     """
 
     a: DataFrame  # a_key, a_class
     b: DataFrame  # b_key, b_class
-    near: DataFrame
+    a_hot: DataFrame  # a_class, n_a, hot_a, token, before_a: a row for each of the class's rarest hot tokens, with those before it
+    b_hot: DataFrame
     pairs: DataFrame
+    least: float
+
+    def near(self, of_b: DataFrame | None = None) -> DataFrame:
+        """Pairs of classes, made by each use and never stored, as they may be far more than sets. of_b: columns by b_class to go along.
+
+        Both lists of hot tokens begin with the rarest, so the first token that two classes share is among the
+        rarest of both: the pair is made there only (nothing before it is shared), which needs no shuffle.
+        """
+        b = self.b_hot if of_b is None else self.b_hot.join(of_b, "b_class")
+        tasks = 4 * int(self.a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare
+        rows = self.a_hot.repartition(tasks, "token").join(b.repartition(tasks, "token"), "token").where((F.col("n_b") >= F.col("n_a") * self.least - 1e-9) & (F.col("n_a") >= F.col("n_b") * self.least - 1e-9))
+        rows = rows.where(~F.arrays_overlap("before_a", "before_b"))
+        # generated, so that conditions on it don't compare the lists again
+        rows = rows.withColumn("same", F.explode(F.array(F.size(F.array_intersect("hot_a", "hot_b")))))
+        rows = rows.withColumn("similarity", F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).where(F.col("similarity") >= self.least)
+        return rows.drop("token", "n_a", "n_b", "hot_a", "hot_b", "before_a", "before_b", "same")
 
 
 def reach(a: DataFrame, b: DataFrame, least: float) -> Reach:
@@ -41,34 +58,30 @@ def reach(a: DataFrame, b: DataFrame, least: float) -> Reach:
     Works on distinct sets, stored once. Tokens of one side only count in sizes. Other tokens meet by set
     where at most HOT_PAIRS pairs do, which bounds that join by the number of tokens. Hot tokens meet by
     class: to reach `least` a class of sets of size n must share ceil(least * n) of its hot tokens, so one of
-    all but that many of its rarest, and sizes differ by the factor `least` at most.
+    all but that many of its rarest, and sizes differ by the factor `least` at most. Shared tokens are
+    numbered from the rarest on.
     """
     sets = {n: stored(x.select(F.col("tokens_key").alias("key"), "tokens").distinct(), f"sets_{n}") for n, x in (("a", a), ("b", b))}
-    tokens = {n: x.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")) for n, x in sets.items()}
-    freq = {n: x.groupBy("token").agg(F.count("*").alias(f"df_{n}")) for n, x in tokens.items()}
-    shared = freq["a"].join(freq["b"], "token").select("token", (F.col("df_a") * F.col("df_b")).alias("meet"))
-    shared = stored(shared.withColumn("hot", F.col("meet") > HOT_PAIRS), "shared_tokens")
-
-    members, classes, rare = {}, {}, {}
-    for n, x in tokens.items():
-        hot = x.join(shared.where("hot"), "token").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("meet", "token"))).alias("hot"))
-        members[n] = stored(hot.select("key", "n", F.col("hot.token").alias("hot"), F.xxhash64("n", "hot.token").alias("class")), f"classes_{n}")
-        classes[n] = members[n].select("class", "n", "hot").distinct()
-        rare[n] = x.join(shared.where("NOT hot").select("token"), "token").select(F.col("key").alias(f"{n}_key"), "token")
-
-    def prefix(n: str) -> DataFrame:
-        c = classes[n].withColumn("keep", F.size("hot") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1).where("keep > 0")
-        return c.select(F.col("class").alias(f"{n}_class"), F.col("n").alias(f"n_{n}"), F.col("hot").alias(f"hot_{n}"), F.explode(F.slice("hot", F.lit(1), F.col("keep"))).alias("token"))
-
-    same = F.size(F.array_intersect("hot_a", "hot_b"))
-    near = prefix("a").join(prefix("b"), "token").where((F.col("n_b") >= F.col("n_a") * least - 1e-9) & (F.col("n_a") >= F.col("n_b") * least - 1e-9))
-    near = near.dropDuplicates(["a_class", "b_class"]).select("a_class", "b_class", (same / (F.col("n_a") + F.col("n_b") - same)).alias("similarity")).where(F.col("similarity") >= least)
-    pairs = rare["a"].join(rare["b"], "token").select("a_key", "b_key").distinct()
+    words = {n: x.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("word")) for n, x in sets.items()}
+    freq = {n: x.groupBy("word").agg(F.count("*").alias(f"df_{n}")) for n, x in words.items()}
+    shared = freq["a"].join(freq["b"], "word").select("word", (F.col("df_a") * F.col("df_b")).alias("meet"))
+    shared = shared.repartitionByRange("meet", "word").sortWithinPartitions("meet", "word").select("word", (F.col("meet") > HOT_PAIRS).alias("hot"), F.monotonically_increasing_id().alias("token"))
+    shared = stored(shared, "shared_tokens")
+
+    members, hot, rare = {}, {}, {}
+    for n, x in words.items():
+        of_key = x.join(shared.where("hot"), "word").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("token")).alias("hot"))
+        members[n] = stored(of_key.select("key", "n", "hot", F.xxhash64("n", "hot").alias("class")), f"classes_{n}")
+        c = members[n].groupBy("class").agg(F.first("n").alias("n"), F.first("hot").alias("hot")).withColumn("keep", F.size("hot") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1).where("keep > 0")
+        hot[n] = stored(c.select(F.col("class").alias(f"{n}_class"), F.col("n").alias(f"n_{n}"), F.col("hot").alias(f"hot_{n}"), F.posexplode(F.slice("hot", F.lit(1), F.col("keep"))).alias("at", "token")).withColumn(f"before_{n}", F.slice(f"hot_{n}", F.lit(1), F.col("at"))).drop("at"), f"hot_{n}")
+        rare[n] = x.join(shared.where("NOT hot").select("word"), "word").select(F.col("key").alias(f"{n}_key"), "word")
+
+    pairs = rare["a"].join(rare["b"], "word").select("a_key", "b_key").distinct()
     for n in ("a", "b"):
         pairs = pairs.join(sets[n].select(F.col("key").alias(f"{n}_key"), F.col("tokens").alias(f"t_{n}")), f"{n}_key")
     pairs = pairs.select("a_key", "b_key", jaccard(F.col("t_a"), F.col("t_b")).alias("similarity")).where(F.col("similarity") >= least)
     sides = [members[n].select(F.col("key").alias(f"{n}_key"), F.col("class").alias(f"{n}_class")) for n in ("a", "b")]
-    return Reach(*sides, stored(near, "near"), stored(pairs, "pairs"))
+    return Reach(*sides, hot["a"], hot["b"], stored(pairs, "pairs"), least)
 
 
 def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -77,7 +90,7 @@ def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     The output has a row for each pair; the other operators work on classes of sets and never expand them.
     """
     r = reach(a, b, least)
-    by_class = r.near.join(r.a, "a_class").join(r.b, "b_class").select("a_key", "b_key", "similarity")
+    by_class = r.near().join(r.a, "a_class").join(r.b, "b_class").select("a_key", "b_key", "similarity")
     return by_class.join(r.pairs, ["a_key", "b_key"], "left_anti").unionAll(r.pairs)
 
 
@@ -91,7 +104,8 @@ def match_counts(store: DataFrame, offers: DataFrame, least: float = 0.15) -> Da
     r = reach(store, offers, least)
     texts = stored(offers.select(F.col("tokens_key").alias("b_key"), F.lower("sku").alias("k")).distinct().join(r.b, "b_key", "left"), "texts")
     mine = stored(store.select("store_id", F.lower("sku").alias("own"), F.col("tokens_key").alias("a_key")).join(r.a, "a_key", "left"), "mine")
-    near = stored(r.near.join(texts.groupBy("b_class").agg(F.count("*").alias("w")), "b_class"), "near_counts")
+    classes = stored(r.near(), "near")
+    near = stored(classes.join(texts.groupBy("b_class").agg(F.count("*").alias("w")), "b_class"), "near_counts")
     total = near.groupBy("a_class").agg(F.sum("w").alias("n"), F.max_by(F.struct("similarity", "b_class", "w"), F.struct("similarity", "b_class")).alias("best"))
     own = mine.join(texts, F.col("own") == F.col("k")).groupBy("store_id", "b_class").agg(F.count("*").alias("m"))
 
@@ -100,7 +114,7 @@ def match_counts(store: DataFrame, offers: DataFrame, least: float = 0.15) -> Da
     filled = of_class.where("m >= best.w").select("store_id", "a_class").join(near, "a_class").join(own, ["store_id", "b_class"], "left")
     others = filled.where("coalesce(m, 0) < w").select("store_id", F.lit(0).cast("long").alias("n"), "similarity")
     first = of_class.select("store_id", "n", F.when(F.col("m") < F.col("best.w"), F.col("best.similarity")).otherwise(0.0).alias("similarity"))
-    by_pair = mine.join(r.pairs, "a_key").join(texts, "b_key").join(r.near.select("a_class", "b_class", F.lit(True).alias("known")), ["a_class", "b_class"], "left")
+    by_pair = mine.join(r.pairs, "a_key").join(texts, "b_key").join(classes.select("a_class", "b_class", F.lit(True).alias("known")), ["a_class", "b_class"], "left")
     by_pair = by_pair.select("store_id", F.when(F.col("known"), 0).otherwise(1).cast("long").alias("n"), F.when(F.col("own") == F.col("k"), 0.0).otherwise(F.col("similarity")).alias("similarity"))
     rows = first.unionAll(others).unionAll(by_pair).groupBy("store_id").agg(F.sum("n").alias("n_sets"), F.max("similarity").alias("best_other"))
     return rows.where("n_sets > 0")
@@ -113,27 +127,36 @@ def top_matches(store: DataFrame, offers: DataFrame, least: float = 0.15, most:
     sku has similarity 1. Offers of one class of sets are alike to a store product but for price, unless they
     share a rarer token with it (r: their reach() at `least`, if it is known); so the `most` best of a class of store products over the cheapest `most` of
     each class of offers, those that share a rarer token and those of an equal sku hold all best offers.
+
+    Offers are numbered in the order of ties (o), and only numbers are ranked. An offer that is p-th of a class
+    that is r-th by similarity and its cheapest offer has r - 1 + p - 1 better ones at least.
     """
     order = ("price", "supplier", "sku", "name")
 
     def cheapest(rows: DataFrame, key: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        return rows.withColumn("r", place).where(F.col("r") <= most).drop("r")
+        return rows.withColumn("p", F.row_number().over(Window.partitionBy(key).orderBy("o"))).where(F.col("p") <= most)
 
     r = r or reach(store, offers, least)
-    cols = ["store_id", "b_key", *order, "similarity"]
-    offered = stored(offers.select(*order, F.col("tokens_key").alias("b_key"), F.lower("sku").alias("k")).join(r.b, "b_key", "left"), "offered")
+    cols = ["store_id", "b_key", "o", "similarity"]
+    named = offers.select(*order, F.col("tokens_key").alias("b_key")).repartitionByRange(*order).sortWithinPartitions(*order)
+    named = stored(named.withColumn("o", F.monotonically_increasing_id()), "offered")
+    offered = named.select("o", "b_key", F.lower("sku").alias("k"))
     mine = store.select("store_id", F.lower("sku").alias("own"), F.col("tokens_key").alias("a_key"))
-    rank = F.row_number().over(Window.partitionBy("a_class").orderBy(F.desc("similarity"), *order))
-    by_class = r.near.join(cheapest(offered.where("b_class IS NOT NULL"), "b_class"), "b_class").withColumn("r", rank).where(F.col("r") <= most)
+    in_class = stored(cheapest(offered.select("o", "b_key").join(r.b, "b_key"), "b_class"), "cheapest")
+    rank = F.row_number().over(Window.partitionBy("a_class").orderBy(F.desc("similarity"), "first"))
+    best = r.near(in_class.where("p = 1").select("b_class", F.col("o").alias("first"))).withColumn("r", rank).where(F.col("r") <= most)
+    rank = F.row_number().over(Window.partitionBy("a_class").orderBy(F.desc("similarity"), "o"))
+    by_class = best.join(in_class, "b_class").where(F.col("r") + F.col("p") <= most + 1).select("a_class", "b_key", "o", "similarity").withColumn("r", rank).where(F.col("r") <= most)
+    by_class = stored(by_class.drop("r"), "by_class")
     other = ~F.coalesce(F.col("k") == F.col("own"), F.lit(False))
-    rows = mine.join(r.a, "a_key").join(by_class, "a_class").where(other).select(*cols)
+    rows = mine.join(r.a, "a_key").join(by_class, "a_class").join(offered.select("o", "k"), "o").where(other).select(*cols)
     rows = rows.unionAll(mine.join(r.pairs, "a_key").join(cheapest(offered, "b_key"), "b_key").where(other).select(*cols))
     same = mine.where("own IS NOT NULL").join(cheapest(offered.where("k IS NOT NULL"), "k"), F.col("own") == F.col("k")).withColumn("similarity", F.lit(1.0)).select(*cols)
     # one partitioning serves both windows: an offer's greatest similarity, and its rank
     rows = rows.unionAll(same).repartition("store_id").withColumn("g", F.max("similarity").over(Window.partitionBy("store_id", "b_key"))).where("similarity = g")
-    rank = F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("similarity"), *order))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("store_id", *order, "similarity", "rank")
+    rank = F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("similarity"), "o"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= most).select("store_id", "o", "similarity", "rank")
+    return rows.join(named.select("o", *order), "o").select("store_id", *order, "similarity", "rank")
 
 
 def match_board(store: DataFrame, matches: DataFrame) -> DataFrame:
@@ -149,7 +172,7 @@ def leftovers(store: DataFrame, offers: DataFrame, least: float = 0.15, r: Reach
     sizes are counted apart and joined back, so that a large group isn't gathered.
     """
     r = r or reach(store, offers, least)
-    reached = r.b.join(r.near.select("b_class"), "b_class", "left_semi").select(F.col("b_key").alias("tokens_key")).unionAll(r.pairs.select("b_key")).distinct()
+    reached = r.b.join(r.near().select("b_class").distinct(), "b_class", "left_semi").select(F.col("b_key").alias("tokens_key")).unionAll(r.pairs.select("b_key")).distinct()
     skus = store.where("sku IS NOT NULL").select(F.lower("sku").alias("k")).distinct()
     left = offers.withColumn("k", F.lower("sku")).join(reached, "tokens_key", "left_anti").join(skus, "k", "left_anti")
     key = F.when(F.size("tokens") > 0, F.array_join("tokens", " ")).otherwise(F.lower("name"))

@@ -28,18 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The result's lineage starts at replicated/shared files, so a lost executor costs only its running
-    tasks. The table lies under the application's id; drop_stored() removes all of them.
+    tasks. The table lies under the application's id; drop_stored() removes all of them. The shuffle files of
+    the write go with it, as nothing reads them again; else they stay until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pricemill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 

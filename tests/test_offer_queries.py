@@ -100,3 +100,28 @@ def test_board(spark):
 def test_templates_of_any_supplier(spark, tmp_path):
     path = _write(spark, tmp_path, "import_template", [(1, ["a"], "\u00a0Торг\t"), (2, ["a", "b"], "X ")], "template_id long, headers array<string>, supplier string")
     assert {tuple(r) for r in q.template_keys(spark, path).collect()} == {(1, 1, "торг"), (2, 2, "x")}
+
+
+def test_pairs_of_classes_are_made_once_and_never_stored(spark, monkeypatch):
+    """The pairs of classes grow faster than the sets; stored or shuffled they took more disk than a job has."""
+    names = []
+    monkeypatch.setattr(matching, "HOT_PAIRS", 0)
+    monkeypatch.setattr(matching, "stored", lambda df, name, f=matching.stored: (names.append(name), f(df, name))[1])
+    tokens = matching.default_tokens("name", "sku")
+    shop = matching.token_sets(spark.createDataFrame([(str(i), f"w{i % 5} w{i % 7} w{i % 3}", f"s{i}") for i in range(40)], "store_id string, name string, sku string"), tokens)
+    offers = matching.token_sets(spark.createDataFrame([("x", f"w{i % 5} w{i % 4} v{i % 6}", f"s{i + 30}", float(i)) for i in range(40)], "supplier string, name string, sku string, price double"), tokens)
+    r = matching.reach(shop, offers, 0.15)
+    near = [(p.a_class, p.b_class) for p in r.near().collect()]
+    assert len(near) == len(set(near)) > 100
+    assert "Exchange hashpartitioning(a_class" not in r.near()._jdf.queryExecution().toString()
+    sides = [[(x[0], x.tokens, x.sku) for x in df.collect()] for df in (shop.select("store_id", "tokens", "sku"), offers.select("price", "tokens", "sku"))]
+    top = {}
+    for a, s, k in sides[0]:
+        scored = sorted((-(1.0 if k == m else _similarity(s, t)), b) for b, t, m in sides[1])
+        top[a] = [(b, -x) for x, b in scored if -x >= 0.15][:8]
+    got = {}
+    for x in sorted(matching.top_matches(shop, offers, r=r).collect(), key=lambda x: x["rank"]):
+        got.setdefault(x.store_id, []).append((x.price, x.similarity))
+    assert got == {a: t for a, t in top.items() if t}
+    matching.unmatched_groups(shop, offers).collect()
+    assert "near" not in names
