@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import os
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import channel
+from ..session import shared_dir
 from .xlsx import write_sheet
 
 OFFER_COLUMNS = ("sku", "name", "price", "currency", "description", "supplier")
@@ -43,12 +45,28 @@ def write_xlsx(df: DataFrame, path: str, title: str = "Products") -> None:
 
 
 def write_json(offers: DataFrame, path: str) -> None:
+    """Executors write the records as parts of the shared folder, which are appended block by block: a partition may be of any size."""
+    spark = offers.sparkSession
+    folder = f"{shared_dir(spark)}/pricemill-{spark.sparkContext.applicationId}/export-{uuid.uuid4().hex}"
+    offers.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).write.option("lineSep", ",\n").text(folder)
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"products": [')
-        for n, r in enumerate(offers.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-            f.write((",\n" if n else "\n") + r.j)
-        f.write("\n]}\n")
+    with open(path, "wb") as f:
+        f.write(b'{"products": [\n')
+    start = os.path.getsize(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(conf)
+    out = jvm.java.io.FileOutputStream(path, True)
+    for part in sorted(x.getPath().getName() for x in fs.listStatus(where)):
+        if part.startswith("part-"):
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source := fs.open(jvm.org.apache.hadoop.fs.Path(where, part)), out, conf, False)
+            source.close()
+    out.close()
+    fs.delete(where, True)
+    with open(path, "r+b") as f:
+        f.truncate(max(start, os.path.getsize(path) - 2))  # the comma after the last record
+        f.seek(0, os.SEEK_END)
+        f.write(b"\n]}\n")
 
 
 def _element(tag: str, c, keep_empty: bool = False):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 import os
 from urllib.parse import urlparse
 
@@ -99,20 +100,31 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each object of the file's `products`, keys whatever their case, an inner `extra` spread out."""
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    if not docs.where("schema_of_variant(v) LIKE 'OBJECT%' AND variant_get(v, '$.products') IS NOT NULL").limit(1).count():
+    """A row for each object of the file's `products`, keys whatever their case, an inner `extra` spread out.
+
+    A file is read as a stream, so that only a record has to fit into Spark's limit of one value. Where keys of a
+    record differ only by case the first that is filled counts, then those of `extra`.
+    """
+    from .json_products import JsonProducts
+
+    spark.dataSource.register(JsonProducts)
+    paths = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]  # names only
+    items = stored(spark.read.format("json_products").option("paths", json.dumps(paths)).load(), "products")
+    if bad := items.where("error IS NOT NULL").select("error").head():
+        raise ValueError(bad.error)
+    if items.isEmpty():
         raise ValueError("the file has no list 'products'")
-    items = docs.lateralJoin(spark.tvf.variant_explode(F.expr("variant_get(v, '$.products')").outer())).select(F.monotonically_increasing_id().alias("i"), F.col("value").alias("item"))
-    items = items.where("schema_of_variant(item) LIKE 'OBJECT%'")
     cell = lambda v: F.coalesce(F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(F.try_variant_get(v, "$", "array<string>"), ";")), F.try_variant_get(v, "$", "string"))
-    cells = items.lateralJoin(spark.tvf.variant_explode(F.col("item").outer())).select("i", F.lower("key").alias("k"), F.col("value").alias("cell"))
-    plain = cells.where("NOT (k = 'extra' AND schema_of_variant(cell) LIKE 'OBJECT%')").select("i", "k", cell(F.col("cell")).alias("v"))
-    inner = cells.where("k = 'extra' AND schema_of_variant(cell) LIKE 'OBJECT%'").select("i", F.col("cell").alias("e"))
-    inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("e").outer())).select("i", F.lower("key").alias("k"), F.col("value").alias("x")).select("i", "k", cell(F.col("x")).alias("v"))
-    both = plain.unionAll(inner)
-    names = [r.k for r in both.select("k").distinct().orderBy("k").collect()]  # the file's columns
-    return both.groupBy("i").pivot("k", names).agg(F.first("v")).drop("i")
+    entries = lambda v: F.map_entries(F.variant_get(v, "$", "map<string,variant>"))
+    is_inner = lambda e: (F.lower(e["key"]) == "extra") & F.schema_of_variant(e["value"]).startswith("OBJECT")
+    own = entries(F.parse_json("item"))
+    rows = items.where("item IS NOT NULL").select(own.alias("own"))
+    inner = F.flatten(F.transform(F.filter("own", is_inner), lambda e: entries(e["value"])))
+    both = F.concat(F.filter("own", lambda e: ~is_inner(e)), inner)
+    cells = stored(rows.select(F.transform(both, lambda e: F.struct(F.lower(e["key"]).alias("k"), cell(e["value"]).alias("v"))).alias("cells")), "cells")
+    names = [r.k for r in cells.select(F.explode("cells.k").alias("k")).distinct().orderBy("k").collect()]  # the file's columns
+    first = lambda k: F.get(F.filter("cells", lambda c: (c["k"] == k) & c["v"].isNotNull()), F.lit(0))["v"]
+    return cells.select(*(first(k).alias(k) for k in names))
 
 
 def record_tag(spark: SparkSession, path: str) -> str:

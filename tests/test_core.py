@@ -1,3 +1,4 @@
+import io
 import json
 import re
 from datetime import datetime
@@ -179,6 +180,31 @@ def test_sources_round_trip(spark, tmp_path):
     assert all_.count() == 2 and [f[0] for f in failed] == ["t"]
 
 
+def test_json_list_is_read_as_a_stream(spark, tmp_path):
+    """A list beyond the size of one Spark value is read whole; files that aren't JSON or hold no list are refused."""
+    from pricemill.sources import json_products
+
+    path = tmp_path / "long.json"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('\ufeff{"made": [{"sku": "no"}], "products": [')
+        for i in range(140):
+            f.write(("," if i else "") + json.dumps({"SKU": f"{i}", "sku": "second", "name": "}, {" + "ж" * 500000, "price": i + 1, "Extra": {"w": [1, "}"]}}, ensure_ascii=False))
+        f.write('], "n": 1}')
+    rows = ingest.load_offers(spark, str(path)).select("sku", "price", F.length("name").alias("n"), "extra").collect()
+    assert sorted(map(tuple, rows)) == sorted((f"{i}", i + 1.0, 500004, {"w": "1;}"}) for i in range(140))
+    text = '{"a": [1, {"products": [1]}], "products": [{"s": "x}\\"]", "p": 1.50}, "junk", 12, [1], {"u": "\\ud83d\\ude00é"}], "z": {"products": [{}]}}\n'
+    for block in (1, 2, 3, 7, 64):
+        json_products.BLOCK, before = block, json_products.BLOCK
+        try:
+            assert list(json_products.products(io.BytesIO(text.encode()))) == [None, '{"s": "x}\\"]", "p": 1.50}', '{"u": "\\ud83d\\ude00é"}']
+        finally:
+            json_products.BLOCK = before
+    for bad in ("[]", '{"products": {"a": {"sku": 1}}}', '{"products": [{"sku": 1}', '{"products": [{"sku": 1} {"sku": 2}]}', '{"products": [{"sku": 1}]} x'):
+        path.write_text(bad)
+        with pytest.raises(ValueError, match="JSON|products"):
+            ingest.read_rows(spark, str(path))
+
+
 def test_headers():
     assert ingest.resolve_headers([" SKU", "Назва", "ціна", "x"], {"name": "X"}) == {"name": "x", "sku": " SKU", "price": "ціна"}
     with pytest.raises(ValueError):
