@@ -60,6 +60,14 @@ def _measure(sources: list[str], path: str):
     return run
 
 
+def _prior(table: np.ndarray) -> np.ndarray:
+    """Logarithms of the sources' shares of labelled tokens; a source without any can't be recognised."""
+    sums = table.sum(1)
+    seen = (sums > 0) | (sums.sum() == 0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.where(seen, sums + 1, 0) / (sums + 1)[seen].sum())
+
+
 def _posteriors(table: np.ndarray, sources: list[str], strength: float | None):
     """Naive Bayes over token features: member, each source's posterior.
 
@@ -67,7 +75,7 @@ def _posteriors(table: np.ndarray, sources: list[str], strength: float | None):
     are far from independent. Where strength is None, member is that mean, with the document taken out of its
     own source's table, for calibrate(). Posteriors are kept to hundredths, so that documents fall into few classes.
     """
-    prior = np.log((table.sum(1) + 1) / (table.sum(1) + 1).sum())
+    prior = _prior(table)
     index = {s: k for k, s in enumerate(sources)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +90,8 @@ def _posteriors(table: np.ndarray, sources: list[str], strength: float | None):
                     rest[pos] = np.maximum(table[k][pos] - n, 0) + 0.5
                     mean[k] = np.log(rest[pos] / rest.sum()) @ n / max(1, total)
                 if strength is not None:
-                    p = np.exp(prior + strength * (mean - mean.max()))
+                    p = prior + strength * mean
+                    p = np.exp(p - p.max())
                     mean = np.round(p / p.sum(), 2)
                     mean[mean.argmax()] += 1 - mean.sum()
                 out.append(mean.tolist())
@@ -91,11 +100,13 @@ def _posteriors(table: np.ndarray, sources: list[str], strength: float | None):
     return run
 
 
-def calibrate(means: np.ndarray, labels: np.ndarray, prior: np.ndarray) -> float:
+def calibrate(means: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> float:
     """The strength of evidence that makes the labels likeliest; 0 where texts tell nothing of the source."""
     best, at = -np.inf, 0.0
+    with np.errstate(divide="ignore"):
+        log = np.log(shares)
     for strength in [0.0, *np.geomspace(0.1, 1000, 25)]:
-        s = np.log(prior) + strength * means
+        s = log + strength * means
         top = s.max(1, keepdims=True)
         score = (s[np.arange(len(labels)), labels] - top[:, 0] - np.log(np.exp(s - top).sum(1))).sum()
         if score > best + 1e-9:
@@ -133,8 +144,10 @@ def fit_rates(classes: DataFrame, targets: np.ndarray, steps: int = 60, toleranc
     return history
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_RANKS, sure: float = 0.9) -> DataFrame:
-    """(doc_id, source, n_tokens BIGINT, repeats BIGINT): the chosen documents.
+def mix_sources(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_RANKS, sure: float = 0.0) -> DataFrame:
+    """(doc_id, source, n_tokens BIGINT, repeats BIGINT, members MAP<STRING, DOUBLE>): the chosen documents.
+
+    members is the document's membership in each source, source the one of which it is most likely.
 
     docs: doc_id (unique), text, source. targets: source, weight, max_repeats (a small fixed table, read by
     the driver). The total is the largest at which no source needs more than max_repeats of what it has.
@@ -142,12 +155,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_RANKS,
     1. One pass, the only one over the texts, counts each document's tokens and, over all labelled documents, the
        token table of each source; it keeps the features of unlabelled documents and of those for calibration.
     2. A recorded source is certain membership. Documents without one get the posterior of a naive Bayes
-       classifier over all labelled documents, whose strength is calibrated on CALIBRATION of them; they
-       count only if it reaches `sure` for some source, and then in the shares the posterior gives. Documents of sources without a target, and those without tokens, are never chosen.
-    3. Rates come from fit_rates(). A rate's whole part is repeated at once; of its fraction each source takes
-       documents in the order of a hash of doc_id until the fractions' tokens are filled, so the source's
-       total misses its target by less than one document. No source is sorted whole: a histogram over BUCKETS
-       of the hash finds the bucket of the cut, and only that bucket is read row by row.
+       classifier over all labelled documents, whose strength is calibrated on CALIBRATION of them, and count in
+       the shares that it gives, however unsure it is (`sure` leaves out those whose likeliest source is below it).
+       Such a document is used as often as each source it may be of allows. Documents of sources without a
+       target, and those without tokens, are never chosen.
+    3. Rates of all documents, soft and certain, come from fit_rates(). A rate's whole part is repeated at once. The
+       fraction of a soft document is drawn by a hash of doc_id; what each source then lacks, in expected tokens,
+       its recorded documents fill, in the order of the hash until the fractions' tokens are filled, so that the
+       source's total misses its target by less than one document unless soft ones alone exceed it. No source is
+       sorted whole: a histogram over BUCKETS of the hash finds the bucket of the cut, and only that bucket is
+       read row by row.
 
     Null weights or max_repeats count as 0; a source that has no tokens gets none and the others share the
     total by their weights. Empty tables give an empty result.
@@ -173,30 +190,44 @@ def mix_sources(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_RANKS,
     found = sized.where("pos IS NOT NULL").select("doc_id", "source", "n_tokens", "pos", "n")
     some = found.where(F.col("source").isin(sources)).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(CALIBRATION)
     known = some.mapInArrow(_posteriors(table, sources, None), schema).collect()
-    prior = (table.sum(1) + 1) / (table.sum(1) + 1).sum()
-    strength = calibrate(np.array([r.member for r in known]), np.array([sources.index(r.source) for r in known]), prior) if known else 0.0
+    strength = calibrate(np.array([r.member for r in known]), np.array([sources.index(r.source) for r in known]), np.exp(_prior(table))) if known else 0.0
     unlabelled = found.where("source IS NULL").mapInArrow(_posteriors(table, sources, strength), schema).drop("source")
     unlabelled = sized.where("source IS NULL").join(unlabelled.where(F.array_max("member") >= sure), "doc_id")
     one_hot = {s: F.array(*(F.lit(float(s == x)) for x in sources)) for s in sources}
     names = F.array(*(F.lit(s) for s in sources)) if sources else F.array().cast("array<string>")
-    caps = F.create_map(*(F.lit(x) for s in sources for x in (s, want[s][1]))) if sources else F.lit(None).cast("map<string,int>")
+    caps = F.array(*(F.lit(want[s][1]) for s in sources)).cast("array<int>")
     member = F.lit(None).cast("array<double>")
     for s in sources:
         member = F.when(F.col("source") == s, one_hot[s]).otherwise(member)
-    rows = sized.where(F.col("source").isin(sources)).select("doc_id", "source", "n_tokens", member.alias("member"))
-    rows = rows.unionByName(unlabelled.select("doc_id", F.element_at(names, F.array_position("member", F.array_max("member")).cast("int")).alias("source"), "n_tokens", "member"))
-    rows = stored(rows.withColumn("cap", caps[F.col("source")]).withColumn("u", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))), "members")
+    rows = sized.where(F.col("source").isin(sources)).select("doc_id", "source", "n_tokens", member.alias("member"), F.lit(False).alias("soft"))
+    rows = rows.unionByName(unlabelled.select("doc_id", F.element_at(names, F.array_position("member", F.array_max("member")).cast("int")).alias("source"), "n_tokens", "member", F.lit(True).alias("soft")))
+    cap = F.array_min(F.zip_with("member", caps, lambda m, c: F.when(m > 0, c)))  # of all sources it may be of
+    rows = stored(rows.withColumn("cap", cap).withColumn("u", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))), "members")
 
     classes = stored(rows.groupBy("member", "cap").agg(F.sum("n_tokens").alias("tokens")), "classes")
-    have = {r.source: float(r.t) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    have = {r.source: float(r.t) for r in rows.where("NOT soft").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     use = [s for s in sources if have.get(s) and want[s][0] > 0 and want[s][1] > 0]
     weights = np.array([want[s][0] if s in use else 0.0 for s in sources])
+    history, rates = [], dict.fromkeys(sources, 0.0)
+    sums = lambda df, times: np.array([float(x or 0) for x in df.agg(*(F.sum(times * F.col("member")[i] * F.col("tokens")) for i in range(len(sources)))).first()])
+    if use:
+        weights = weights / weights.sum()
+        fits = lambda most: min(most[sources.index(s)] / weights[sources.index(s)] for s in use)
+        total = fits(sums(classes, F.col("cap")))
+        history = fit_rates(classes, weights * total)
+    rate = F.round(_rate(history), 9)
+    drawn = F.floor(rate) + F.when(F.col("u") / float(1 << 40) < rate - F.floor(rate), 1).otherwise(0)
+    soft = rows.where("soft").withColumn("repeats", drawn.cast("long"))
     if use:
-        total = min(want[s][1] * have[s] / (want[s][0] / weights.sum()) for s in use)
-        weights = weights / weights.sum() * total
-    history = fit_rates(classes, weights) if use else []
+        got = sums(soft.withColumnRenamed("n_tokens", "tokens"), F.col("repeats"))
+        whole = np.array([want[s][1] * have.get(s, 0.0) for s in sources])
+        lack = np.maximum(weights * min(total, fits(got + whole)) - got, 0)
+        rates = {s: min(lack[k] / have[s], want[s][1]) if s in use else 0.0 for k, s in enumerate(sources)}
 
-    rated = rows.withColumn("rate", F.round(_rate(history), 9)).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate"))
+    rate = F.lit(0.0)
+    for s in sources:
+        rate = F.when(F.col("source") == s, F.lit(round(float(rates[s]), 9))).otherwise(rate)
+    rated = rows.where("NOT soft").withColumn("rate", rate).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate"))
     open_ = rated.where("part > 0")
     bucket = F.shiftright(F.col("u"), 24).cast("int")
     histogram = open_.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("part") * F.col("n_tokens")).alias("q"))
@@ -208,12 +239,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, path: str = DEFAULT_RANKS,
     # of the row that crosses the quota, the nearer side
     extra = open_.where("bucket < cut").select("doc_id").unionAll(inside.where("before + sum - n_tokens / 2.0D <= quota").select("doc_id"))
     chosen = rated.join(extra.withColumn("extra", F.lit(1)), "doc_id", "left")
-    return chosen.select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce("extra", F.lit(0))).cast("long").alias("repeats")).where("repeats > 0")
+    chosen = chosen.withColumn("repeats", (F.col("base") + F.coalesce("extra", F.lit(0))).cast("long"))
+    out = ["doc_id", "source", "n_tokens", "repeats", F.map_filter(F.map_from_arrays(names, "member"), lambda _, m: m > 0).alias("members")]
+    return chosen.select(*out).unionAll(soft.select(*out)).where("repeats > 0")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, weight, n_docs, n_tokens, share): what each source of targets got of the mix's tokens."""
-    got = mix.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"))
-    total = got.agg(F.sum("n_tokens")).scalar()
-    out = targets.select("source", "weight").join(got, "source", "left").withColumn("total", total)
-    return out.select("source", "weight", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), (F.coalesce("n_tokens", F.lit(0)) / F.col("total")).alias("share"))
+    """(source, weight, n_docs, n_tokens, share): what each source of targets got of the mix's tokens.
+
+    A document counts in n_docs for its likeliest source, its tokens for all sources by its membership.
+    """
+    docs = mix.groupBy("source").agg(F.count("*").alias("n_docs"))
+    got = mix.select(F.explode("members").alias("source", "m"), (F.col("n_tokens") * F.col("repeats")).alias("t")).groupBy("source").agg(F.sum(F.col("m") * F.col("t")).alias("got"))
+    total = got.agg(F.sum("got")).scalar()
+    out = targets.select("source", "weight").join(docs, "source", "left").join(got, "source", "left").withColumn("total", total)
+    return out.select("source", "weight", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce(F.round("got").cast("long"), F.lit(0)).alias("n_tokens"), (F.coalesce("got", F.lit(0.0)) / F.col("total")).alias("share"))

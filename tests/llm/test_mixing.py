@@ -78,3 +78,27 @@ def test_soft_members_where_sources_differ(spark):
     total = sum(r.n_tokens * r.repeats for r in rows)
     for s, w in (("a", 0.3), ("b", 0.4), ("c", 0.3)):
         assert sum(r.n_tokens * r.repeats for r in rows if truth[r.doc_id] == s) / total == pytest.approx(w, abs=0.03)
+
+
+@pytest.mark.parametrize("telling", [0.0, 0.2])
+def test_unsure_documents_are_soft_members(spark, telling):
+    """Documents of which the classifier is unsure take part by their posterior, within every source's limit of repeats."""
+    rnd = np.random.default_rng(7)
+    words = [[f"{s}{i}" for i in range(40)] for s in ("ax", "by")]
+    docs, truth = [], {}
+    for i in range(600):
+        k = int(rnd.choice(2, p=[0.6, 0.4]))
+        truth[i] = "ab"[k]
+        mixed = [words[k][rnd.integers(40)] if rnd.random() < telling else words[rnd.integers(2)][rnd.integers(40)] for _ in range(30)]
+        docs.append((i, " ".join(mixed), "ab"[k] if i % 2 else None))
+    d, t = tables(spark, docs, [("a", 0.4, 1), ("b", 0.6, 3), ("none", 0.0, 1)])
+    mix = mix_sources(d, t)
+    rows = mix.collect()
+    soft = [r for r in rows if r.doc_id % 2 == 0]
+    assert len(soft) > 50 and sum(0.1 < max(r.members.values()) < 0.9 for r in soft) > 20
+    assert all(sum(r.members.values()) == pytest.approx(1) for r in rows)
+    assert all(r.repeats <= min({"a": 1, "b": 3}[s] for s in r.members) for r in rows)
+    assert {r.source: r.share for r in shares(mix, t).collect()} == pytest.approx({"a": 0.4, "b": 0.6, "none": 0.0}, abs=0.003)
+    if not telling:  # where texts tell the source in part the true share of a is 0.31, see README
+        total = sum(r.n_tokens * r.repeats for r in rows)
+        assert sum(r.n_tokens * r.repeats for r in rows if truth[r.doc_id] == "a") / total == pytest.approx(0.4, abs=0.05)
